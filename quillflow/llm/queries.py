@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import line_dedup, merkle, near_dedup, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1,
+    "op4_warc_archive": warc_archive.op4,
+    "op5_line_dedup": line_dedup.op5,
+    "op10_merkle": merkle.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_archive": warc_archive.ORACLE,
+    "op10_merkle": merkle.ORACLE,
+}
