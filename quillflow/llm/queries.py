@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, merkle, near_dedup, warc_archive
+from . import decontaminate, line_dedup, merkle, near_dedup, pii, token_blocks, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1,
+    "op3_pii": pii.op3,
     "op4_warc_archive": warc_archive.op4,
     "op5_line_dedup": line_dedup.op5,
+    "op6_token_blocks": token_blocks.op6,
+    "op9_decontaminate": decontaminate.op9,
     "op10_merkle": merkle.op10,
 }
 
