@@ -14,7 +14,6 @@ from ..model import active
 #: Handler classes by name, for declarative configuration. Only what is registered can be named there.
 REGISTRY: dict[str, type] = {}
 
-META = F.col
 
 
 def register(cls: type) -> type:

@@ -16,7 +16,9 @@ from ..functions.fields import OnSet, drop, grouped, keep, no_values, pick, put,
 from ..functions.matcher import TextMatcher, as_matcher
 from .base import Handler, blank, register, text
 
-META = F.col("metadata")
+def meta() -> Column:
+    return F.col("metadata")
+
 
 
 @dataclass(kw_only=True)
@@ -28,7 +30,7 @@ class Tagger(Handler):
         raise NotImplementedError
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("metadata", F.when(self.guard(), self.tag(META)).otherwise(META))
+        return df.withColumn("metadata", F.when(self.guard(), self.tag(meta())).otherwise(meta()))
 
 
 def many(function: Callable[[str], list[str]], source: Column) -> Column:
@@ -217,7 +219,7 @@ class DebugTagger(Tagger):
 
     def apply(self, df: DataFrame) -> DataFrame:
         logging.getLogger("quillflow").log(getattr(logging, self.log_level.upper()), "%s: %s", self.prefix, self.log_fields)
-        counts = [F.count("*").alias("rows"), *(F.count(F.when(F.map_contains_key(META, name), 1)).alias(name) for name in self.log_fields)]
+        counts = [F.count("*").alias("rows"), *(F.count(F.when(F.map_contains_key(meta(), name), 1)).alias(name) for name in self.log_fields)]
         return df.observe(f"{self.prefix}-{id(self)}", *counts, *([F.sum(F.length(text())).alias("content_chars")] if self.log_content else []))
 
 
@@ -284,14 +286,14 @@ class DOMTagger(Tagger):
 
     def apply(self, df: DataFrame) -> DataFrame:
         rules, parser = [(r.selector, r.extract, r.match_blanks, r.delete, r.default_value) for r in self.rules], self.parser
-        source = values(META, self.from_field) if self.from_field else F.array(text())
+        source = values(meta(), self.from_field) if self.from_field else F.array(text())
 
         @F.pandas_udf("found array<array<string>>, rest array<string>")
         def run(s: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([dom_rules([x for x in xs if x], rules, parser) for xs in s], columns=["found", "rest"])
 
         df = df.withColumn("_dom", run(source))
-        m = META
+        m = meta()
         for i, r in enumerate(self.rules):
             m = put(m, r.to_field, F.get(F.col("_dom.found"), F.lit(i)), r.on_set)
         change = {"metadata": m}
@@ -382,14 +384,14 @@ class LanguageTagger(Tagger):
 
         df = df.withColumn("_ranked", ranked(F.substring(text(), 1, self.section_chars)))
         best = F.coalesce(F.get(F.col("_ranked"), F.lit(0))["tag"], F.lit(self.fallback_language))
-        m = put(META, self.to_field, F.array(best), "replace")
+        m = put(meta(), self.to_field, F.array(best), "replace")
         if self.keep_probabilities:
             size = len(self.languages) or len(self.profiles or language.default_profiles())
             for i in range(size):
                 r = F.get(F.col("_ranked"), F.lit(i))
                 m = put(m, f"{self.to_field}.{i + 1}.tag", F.array(r["tag"]), "replace")
                 m = put(m, f"{self.to_field}.{i + 1}.probability", F.array(r["probability"].cast("string")), "replace")
-        return df.withColumn("metadata", F.when(self.guard(), m).otherwise(META)).drop("_ranked")
+        return df.withColumn("metadata", F.when(self.guard(), m).otherwise(meta())).drop("_ranked")
 
 
 @register
@@ -661,7 +663,7 @@ class UUIDTagger(Tagger):
 def field_report(docs: DataFrame, max_samples: int = 3, truncate_samples_at: int = -1, with_occurrences: bool = True) -> DataFrame:
     """(field, occurrences, samples): of every field the number of documents that have it, and its first distinct
     samples that aren't blank, in order. Samples are kept by a bounded partial aggregate, not by collecting all values."""
-    flat = docs.filter(model.active()).select(F.explode(META).alias("field", "v"))
+    flat = docs.filter(model.active()).select(F.explode(meta()).alias("field", "v"))
     counts = flat.groupBy("field").agg(F.count("*").alias("occurrences"))
     each = flat.select("field", F.explode("v").alias("s")).filter(~blank(F.col("s"))).distinct()
     from pyspark.sql import Window

@@ -60,7 +60,9 @@ def imported(df: DataFrame, *columns: Column, **pipeline) -> DataFrame:
     return Pipeline(**pipeline).run(df).filter(model.active()).select(*columns)
 
 
-REF = F.col("reference").cast("long").alias("id")
+def ref() -> Column:
+    return F.col("reference").cast("long").alias("id")
+
 
 # Flagship
 
@@ -83,7 +85,7 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         ta.KeepOnlyTagger(field_matcher=wildcard("document.stat.*")),
     ]
     stat = lambda k: first(f"document.stat.{k}")
-    return imported(docs(spark, sf_dir), REF, stat("characterCount").alias("chars"), stat("wordCount").alias("words"), stat("paragraphCount").alias("paragraphs"), post=post)
+    return imported(docs(spark, sf_dir), ref(), stat("characterCount").alias("chars"), stat("wordCount").alias("words"), stat("paragraphCount").alias("paragraphs"), post=post)
 
 
 # Filters and conditions
@@ -96,13 +98,13 @@ def text_filter_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
         fi.TextFilter(field_matcher=basic("lang"), value_matcher=basic("fr")),
         fi.TextFilter(field_matcher=basic("source"), value_matcher=wildcard("src1*"), on_match="exclude"),
     ]
-    return imported(docs(spark, sf_dir), REF, post=post)
+    return imported(docs(spark, sf_dir), ref(), post=post)
 
 
 @query("SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '(?i)idiot') AND NOT contains(text, '$$$')")
 def content_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [fi.TextFilter(value_matcher=basic("IDIOT", ignore_case=True, partial=True)), fi.TextFilter(value_matcher=basic("$$$", partial=True), on_match="exclude")]
-    return imported(docs(spark, sf_dir), REF, post=post)
+    return imported(docs(spark, sf_dir), ref(), post=post)
 
 
 @query("SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '(?is)^.*licen[cs]ed.*$') AND source = 'src3'")
@@ -115,7 +117,7 @@ def regex_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         fi.RegexReferenceFilter(regex="[^0-9]+", on_match="exclude"),
         fi.EmptyMetadataFilter(fields=["lang"], on_match="exclude"),
     ]
-    return imported(docs(spark, sf_dir), REF, post=post)
+    return imported(docs(spark, sf_dir), ref(), post=post)
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(url, '.example.net/') AND url LIKE 'https%'")
@@ -128,7 +130,7 @@ def reference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id AS id FROM events WHERE value >= 20 AND value < 60.5")
 def numeric_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, "events", "event_id", value="value")
-    return imported(df, REF, post=[fi.NumericMetadataFilter(field_matcher=basic("value"), conditions=[("ge", 20), ("lt", 60.5)])])
+    return imported(df, ref(), post=[fi.NumericMetadataFilter(field_matcher=basic("value"), conditions=[("ge", 20), ("lt", 60.5)])])
 
 
 @query("SELECT event_id AS id, CASE WHEN value > 50 THEN 'high' WHEN value <= 10 THEN 'low' ELSE 'mid' END AS level FROM events")
@@ -136,14 +138,14 @@ def numeric_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, "events", "event_id", value="value")
     low = If(NumericCondition(wildcard("val*"), [("LE", 10)]), [ta.ConstantTagger(constants=[("level", "low")])], [ta.ConstantTagger(constants=[("level", "mid")])])
     post = [If(NumericCondition(basic("value"), [("GT", 50)]), [ta.ConstantTagger(constants=[("level", "high")])], [low])]
-    return imported(df, REF, first("level").alias("level"), post=post)
+    return imported(df, ref(), first("level").alias("level"), post=post)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-03-15'")
 def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     df = files.table(orders, "o_orderkey", F.lit(""), {"day": "day"})
-    return imported(df, REF, post=[fi.DateMetadataFilter(field_matcher=basic("day"), format="yyyy-MM-dd", conditions=[("ge", "1995-01-01"), ("lt", "1996-03-15")])])
+    return imported(df, ref(), post=[fi.DateMetadataFilter(field_matcher=basic("day"), format="yyyy-MM-dd", conditions=[("ge", "1995-01-01"), ("lt", "1996-03-15")])])
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderdate >= TIMESTAMP '1997-06-01 02:00:00' THEN 'new' ELSE 'old' END AS age FROM orders")
@@ -152,26 +154,26 @@ def date_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
     df = files.table(orders, "o_orderkey", F.lit(""), {"ms": "ms"})
     test = DateCondition(basic("ms"), [("ge", "1997-05-31T22:00:00")], condition_zone_id="America/New_York")
-    return imported(df, REF, first("age").alias("age"), post=[If(test, [ta.ConstantTagger(constants=[("age", "new")])], [ta.ConstantTagger(constants=[("age", "old")])])])
+    return imported(df, ref(), first("age").alias("age"), post=[If(test, [ta.ConstantTagger(constants=[("age", "new")])], [ta.ConstantTagger(constants=[("age", "old")])])])
 
 
 @query("SELECT conv_id * 1000 + turn AS id FROM conversations WHERE length(text) > 0 AND role = 'user'")
 def empty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = files.table(load(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), "text", {"user": F.when(F.col("role") == "user", F.col("role"))})
-    return imported(df, REF, post=[fi.EmptyFilter(on_match="exclude"), fi.EmptyFilter(field_matcher=basic("user"), on_match="exclude")])
+    return imported(df, ref(), post=[fi.EmptyFilter(on_match="exclude"), fi.EmptyFilter(field_matcher=basic("user"), on_match="exclude")])
 
 
 @query("SELECT conv_id * 1000 + turn AS id, CASE WHEN role = 'user' THEN 'asked' ELSE 'told' END AS kind FROM conversations")
 def blank_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = files.table(load(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), "text", {"user": F.when(F.col("role") == "user", F.col("role"))})
     post = [IfNot(BlankCondition(wildcard("us*")), [ta.ConstantTagger(constants=[("kind", "asked")])], [ta.ConstantTagger(constants=[("kind", "told")])])]
-    return imported(df, REF, first("kind").alias("kind"), post=post)
+    return imported(df, ref(), first("kind").alias("kind"), post=post)
 
 
 @query("SELECT event_id AS id FROM events WHERE event_type = 'click' OR value > 90")
 def script_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, "events", "event_id", value="value", type="event_type")
-    return imported(df, REF, post=[fi.ScriptFilter(script="array_contains(metadata['type'], 'click') or cast(metadata['value'][0] as double) > 90")])
+    return imported(df, ref(), post=[fi.ScriptFilter(script="array_contains(metadata['type'], 'click') or cast(metadata['value'][0] as double) > 90")])
 
 
 @query("SELECT page_id FROM pages WHERE contains(html, '<h1>') AND regexp_matches(html, '<h1>[^<]*the')")
@@ -197,13 +199,13 @@ def constant(spark: SparkSession, sf_dir: str) -> DataFrame:
         ta.ConstantTagger(constants=[("nation", "7")], on_set="replace"),
         ta.ConstantTagger(constants=[("fixed", "z"), ("fresh", "new")], on_set="optional"),
     ]
-    return imported(customers(spark, sf_dir), REF, *(joined(k).alias(k) for k in ("fixed", "segment", "name", "nation", "fresh")), post=post)
+    return imported(customers(spark, sf_dir), ref(), *(joined(k).alias(k) for k in ("fixed", "segment", "name", "nation", "fresh")), post=post)
 
 
 @query("SELECT c_custkey AS id, c_name || '|' || c_name AS name, c_mktsegment || '|' || CAST(c_nationkey AS VARCHAR) AS both FROM customer")
 def copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [ta.CopyTagger(copies=[(basic("name"), "name"), (basic("segment"), "both"), (regex("nat.*"), "both")])]
-    return imported(customers(spark, sf_dir), REF, joined("name").alias("name"), joined("both").alias("both"), post=post)
+    return imported(customers(spark, sf_dir), ref(), joined("name").alias("name"), joined("both").alias("both"), post=post)
 
 
 @query("SELECT c_custkey AS id, c_name AS renamed_name, c_mktsegment || '|' || CAST(c_nationkey AS VARCHAR) AS merged, 'renamed_name,merged' AS fields FROM customer")
@@ -216,7 +218,7 @@ def rename_merge_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
         ta.KeepOnlyTagger(field_matcher=regex("renamed_.*|merged|a|b")),
     ]
     names = F.array_join(F.map_keys("metadata"), ",")
-    return imported(customers(spark, sf_dir), REF, first("renamed_name").alias("renamed_name"), joined("merged").alias("merged"), names.alias("fields"), post=post)
+    return imported(customers(spark, sf_dir), ref(), first("renamed_name").alias("renamed_name"), joined("merged").alias("merged"), names.alias("fields"), post=post)
 
 
 @query("SELECT p_partkey AS id, string_split(p_type, ' ')[1] AS head, string_split(p_type, ' ')[-1] AS tail, replace(p_type, ' ', '/') AS path, replace(p_type, ' ', ',') AS plain FROM part")
@@ -231,7 +233,7 @@ def split_single(spark: SparkSession, sf_dir: str) -> DataFrame:
         ta.ForceSingleValueTagger(field_matcher=basic("path"), action="mergeWith:/"),
         ta.ForceSingleValueTagger(field_matcher=basic("plain")),
     ]
-    return imported(df, REF, *(joined(k).alias(k) for k in ("head", "tail", "path", "plain")), post=post)
+    return imported(df, ref(), *(joined(k).alias(k) for k in ("head", "tail", "path", "plain")), post=post)
 
 
 @query(
@@ -240,13 +242,13 @@ SELECT p_partkey AS id, array_to_string(list_transform(range(1, len(w) + 1), lam
 )
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, "part", "p_partkey", type="p_type")
-    return imported(df, REF, joined("paths").alias("paths"), post=[ta.HierarchyTagger(from_field="type", to_field="paths", from_separator=" ", to_separator="/")])
+    return imported(df, ref(), joined("paths").alias("paths"), post=[ta.HierarchyTagger(from_field="type", to_field="paths", from_separator=" ", to_separator="/")])
 
 
 @query("SELECT p_partkey AS id, CASE WHEN length(p_name) > 12 THEN p_name[:9] || '...' ELSE p_name END AS name FROM part")
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, "part", "p_partkey", name="p_name")
-    return imported(df, REF, first("name").alias("name"), post=[ta.TruncateTagger(field_matcher=basic("name"), max_length=12, suffix="...")])
+    return imported(df, ref(), first("name").alias("name"), post=[ta.TruncateTagger(field_matcher=basic("name"), max_length=12, suffix="...")])
 
 
 @query("SELECT c_custkey AS id, regexp_replace(c_name, '^Customer#0*', 'C-') AS code, CASE WHEN contains(c_mktsegment, 'I') THEN regexp_replace(c_mktsegment, 'I', 'i') END AS first_i, replace(c_mktsegment, 'I', 'i') AS all_i FROM customer")
@@ -256,18 +258,18 @@ def replace_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         ta.ReplaceTagger(field_matcher=basic("segment"), value_matcher=basic("I", replace_all=True), to_value="i"),
         ta.ReplaceTagger(field_matcher=basic("name"), value_matcher=regex("Customer#0*(.*)"), to_value="C-$1", to_field="code"),
     ]
-    return imported(customers(spark, sf_dir), REF, first("code").alias("code"), first("first_i").alias("first_i"), first("segment").alias("all_i"), post=post)
+    return imported(customers(spark, sf_dir), ref(), first("code").alias("code"), first("first_i").alias("first_i"), first("segment").alias("all_i"), post=post)
 
 
 @query("SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '(?i)the')) AS VARCHAR) AS the, CAST(len(regexp_extract_all(source, '[0-9]')) AS VARCHAR) AS digits FROM documents")
 def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [ta.CountMatchesTagger(to_field="the", count_matcher=basic("THE", ignore_case=True)), ta.CountMatchesTagger(to_field="digits", field_matcher=basic("source"), count_matcher=regex("[0-9]"))]
-    return imported(docs(spark, sf_dir), REF, first("the").alias("the"), first("digits").alias("digits"), post=post)
+    return imported(docs(spark, sf_dir), ref(), first("the").alias("the"), first("digits").alias("digits"), post=post)
 
 
 @query("SELECT doc_id AS id, CAST(octet_length(encode(text)) AS VARCHAR) AS bytes FROM documents")
 def document_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imported(docs(spark, sf_dir), REF, first("bytes").alias("bytes"), post=[ta.DocumentLengthTagger(to_field="bytes")])
+    return imported(docs(spark, sf_dir), ref(), first("bytes").alias("bytes"), post=[ta.DocumentLengthTagger(to_field="bytes")])
 
 
 @query(
@@ -311,7 +313,7 @@ def date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         ta.DateFormatTagger(from_field="kept", from_formats=formats, keep_bad_dates=True),
         ta.DateFormatTagger(from_field="day", from_formats=formats, to_format="dd/MM/yyyy"),
     ]
-    return imported(df, REF, first("day").alias("day"), first("ms").alias("ms"), first("kept").alias("kept"), post=post)
+    return imported(df, ref(), first("day").alias("day"), first("ms").alias("ms"), first("kept").alias("kept"), post=post)
 
 
 @query(
@@ -322,7 +324,7 @@ def character_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, "part", "p_partkey", up="p_name", low="p_type", capital="p_name", words="p_type")
     kinds = {"up": "upper", "low": "lower", "capital": "string", "words": "wordsFully"}
     post = [ta.CharacterCaseTagger(case_type=kind, field_matcher=basic(name)) for name, kind in kinds.items()]
-    return imported(df, REF, *(first(k).alias(k) for k in kinds), post=post)
+    return imported(df, ref(), *(first(k).alias(k) for k in kinds), post=post)
 
 
 _STANDARD = "'document.reference', 'document.contentType', 'document.contentEncoding', 'document.contentFamily'"
@@ -341,7 +343,7 @@ def field_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def title_and_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [ta.TitleGeneratorTagger(detect_heading=True), ta.LanguageTagger(fallback_language="xx")]
-    return imported(docs(spark, sf_dir), REF, first(model.TITLE).alias("title"), first(model.LANGUAGE).alias("language"), post=post)
+    return imported(docs(spark, sf_dir), ref(), first(model.TITLE).alias("title"), first(model.LANGUAGE).alias("language"), post=post)
 
 
 @query("SELECT c_custkey AS id, true AS fresh, true AS unique_id FROM customer")
@@ -349,14 +351,14 @@ def date_and_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values differ in every run; what holds of them is checked."""
     post = [ta.CurrentDateTagger(), ta.UUIDTagger()]
     fresh = F.abs(first(model.IMPORTED_DATE).cast("long") - F.unix_millis(F.current_timestamp())) < 86_400_000
-    return imported(customers(spark, sf_dir), REF, fresh.alias("fresh"), first(model.UUID).rlike("^[0-9a-f-]{36}$").alias("unique_id"), post=post)
+    return imported(customers(spark, sf_dir), ref(), fresh.alias("fresh"), first(model.UUID).rlike("^[0-9a-f-]{36}$").alias("unique_id"), post=post)
 
 
 # Transformers
 
 
 def changed(spark: SparkSession, sf_dir: str, *post, table: str = "documents") -> DataFrame:
-    key = REF if table == "documents" else first("page_id").cast("long").alias("id")
+    key = ref() if table == "documents" else first("page_id").cast("long").alias("id")
     return imported(docs(spark, sf_dir) if table == "documents" else pages(spark, sf_dir), key, F.col("content").alias("text"), post=list(post))
 
 
@@ -388,13 +390,13 @@ def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS id, '' AS text, text AS body FROM documents WHERE lang = 'es'")
 def no_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [fi.TextFilter(field_matcher=basic("lang"), value_matcher=basic("es")), tr.NoContentTransformer(to_field="body")]
-    return imported(docs(spark, sf_dir), REF, F.col("content").alias("text"), first("body").alias("body"), post=post)
+    return imported(docs(spark, sf_dir), ref(), F.col("content").alias("text"), first("body").alias("body"), post=post)
 
 
 @query("SELECT doc_id AS id, upper(text) AS text, CAST(length(text) AS VARCHAR) AS size FROM documents")
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [ta.ScriptTagger(script="map('size', array(cast(length(content) as string)))"), tr.ScriptTransformer(script="upper(content)")]
-    return imported(docs(spark, sf_dir), REF, F.col("content").alias("text"), first("size").alias("size"), post=post)
+    return imported(docs(spark, sf_dir), ref(), F.col("content").alias("text"), first("size").alias("size"), post=post)
 
 
 @query("SELECT doc_id AS id, text FROM documents")
@@ -402,7 +404,7 @@ def charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in UTF-8 come back as the text they were, whether the set is named or detected."""
     table = load(spark, sf_dir, "documents")
     df = model.documents(table, "doc_id", raw=F.encode("text", "UTF-8"))
-    return imported(df, REF, F.col("content").alias("text"), pre=[tr.CharsetTransformer()])
+    return imported(df, ref(), F.col("content").alias("text"), pre=[tr.CharsetTransformer()])
 
 
 # DOM, splitters, parsing, flows
@@ -478,7 +480,7 @@ def if_else_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
         If(All([TextCondition(basic("de"), basic("lang")), TextCondition(basic("src1"), basic("source"))]), [Reject()]),
         ta.ConstantTagger(constants=[("late", "yes")]),
     ]
-    return Pipeline(post=post).run(docs(spark, sf_dir)).select(REF, first("verdict").alias("verdict"), model.status().alias("status"))
+    return Pipeline(post=post).run(docs(spark, sf_dir)).select(ref(), first("verdict").alias("verdict"), model.status().alias("status"))
 
 
 @query("SELECT CASE WHEN lang = 'en' AND source <> 'src5' THEN 'IMPORTED' ELSE 'REJECTED' END AS status, count(*) AS documents FROM documents GROUP BY ALL")
@@ -492,4 +494,4 @@ def restrict_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.base import PropertyMatcher
 
     post = [ta.ConstantTagger(constants=[("marked", "yes")], restrict_to=[PropertyMatcher(basic("source"), basic("src2"))])]
-    return imported(docs(spark, sf_dir), REF, first("marked").alias("marked"), post=post)
+    return imported(docs(spark, sf_dir), ref(), first("marked").alias("marked"), post=post)
