@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Literal
 
 from pyspark.sql import Column, functions as F
@@ -49,26 +50,42 @@ def merged(old: Column, new: Column, on_set: OnSet) -> Column:
     raise ValueError(f"unknown onSet: {on_set}")
 
 
+def let(f: Callable[..., Column], *bound: Column) -> Column:
+    """f of some columns, each computed once however often f uses it: a chain of map changes stays linear in size."""
+    row = F.struct(*(c.alias(f"v{i}") for i, c in enumerate(bound)))
+    return F.get(F.transform(F.array(row), lambda r: f(*(r[f"v{i}"] for i in range(len(bound))))), F.lit(0))
+
+
 def put(m: Column, key: str | Column, new: Column, on_set: OnSet = "append") -> Column:
     """The map after writing values to a field. No values leave it as it was."""
     name = F.lit(key) if isinstance(key, str) else key
-    new = F.filter(F.coalesce(new, no_values()), lambda v: v.isNotNull())
-    old = F.coalesce(F.element_at(m, name), no_values())
-    rest = F.map_filter(m, lambda k, _: k != name)
-    return F.when(F.size(new) > 0, F.map_concat(rest, F.create_map(name, merged(old, new, on_set)))).otherwise(m)
+
+    def written(m: Column, name: Column, new: Column) -> Column:
+        old = F.coalesce(F.element_at(m, name), no_values())
+        rest = F.map_filter(m, lambda k, _: k != name)
+        return F.when(F.size(new) > 0, F.map_concat(rest, F.create_map(name, merged(old, new, on_set)))).otherwise(m)
+
+    return let(written, m, name, F.filter(F.coalesce(new, no_values()), lambda v: v.isNotNull()))
 
 
 def put_map(m: Column, new: Column, on_set: OnSet = "append") -> Column:
     """The map after writing all fields of another."""
-    both = F.map_zip_with(m, new, lambda _, a, b: F.when(b.isNull(), a).otherwise(merged(F.coalesce(a, no_values()), F.coalesce(b, no_values()), on_set)))
-    return F.when(F.size(new) > 0, both).otherwise(m)
+
+    def written(m: Column, new: Column) -> Column:
+        both = F.map_zip_with(m, new, lambda _, a, b: F.when(b.isNull(), a).otherwise(merged(F.coalesce(a, no_values()), b, on_set)))
+        return F.when(F.size(new) > 0, both).otherwise(m)
+
+    return let(written, m, new)
 
 
 def grouped(entries: Column) -> Column:
     """A map from entries whose keys may repeat: the values of equal keys, joined in order."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.flatten(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])).alias("value")))
-    return F.map_from_entries(pairs)
+
+    def of(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.flatten(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])).alias("value"))))
+
+    return let(of, entries)
 
 
 def transform_values(m: Column, field: TextMatcher, change) -> Column:

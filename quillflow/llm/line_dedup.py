@@ -1,12 +1,15 @@
 """Operator 5: fuzzy duplicates among lines, by MinHash over character shingles.
 
 A line is compared by its normal form, lower-cased and without spaces at its ends; lines whose normal form is empty
-take no part. Equal normal forms are joined first, by a 64-bit hash. Each distinct line's set of shingles (every run of
-8 bytes of its UTF-8; a shorter line is one shingle) is hashed once into K bins whose least values are its signature,
-empty bins borrowing from full ones (A. Shrivastava, optimal densification, 2017). In every bucket of a band each line
-is paired with the least one; pairs are verified by the exact Jaccard similarity of their shingle sets, and lines that
-fail are paired with all others of the bucket, so that every pair that shares a bucket is either verified or linked
-already. Distributed union-find makes components, each keeping its first line by (doc_id, line_no).
+take no part. Lines with equal normal forms are one, known by a 64-bit hash. Each distinct line's set of shingles (every
+run of 8 bytes of its UTF-8; a shorter line is one shingle) is hashed once into K bins whose least values are its
+signature, empty bins borrowing from full ones (A. Shrivastava, optimal densification, 2017). In every bucket of a band
+each line is paired with the least one; pairs are verified by the exact Jaccard similarity of their shingle sets, and
+lines that fail are paired with all others of the bucket, so that every pair that shares a bucket is either verified or
+linked already. Distributed union-find makes components, each keeping its first line by (doc_id, line_no).
+
+Signatures are made where the text is read and only hashes are shuffled for the buckets. Of the text, each task's
+distinct lines move once, to be joined with the lines that share a bucket with another; the rest goes no further.
 
 Defined results: null texts and rows with null doc_id have no lines; lines with the same (doc_id, line_no), as in
 repeated rows, are one occurrence of each distinct line. Other columns aren't read. An empty table gives no rows.
@@ -84,6 +87,10 @@ def signatures(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Nodes and bucket keys; of lines that a batch repeats, one."""
+    first = np.unique(batch.column(0).to_numpy(), return_index=True)[1]
+    if len(first) < batch.num_rows:
+        batch = batch.take(pa.array(np.sort(first)))
     for chunk in chunks(batch.column(1), lower=False):
         sign = signatures(*byte_shingles(chunk), chunk.n).reshape(chunk.n, BANDS, ROWS).astype(np.uint64)
         keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (chunk.n, BANDS)).copy()
@@ -126,32 +133,33 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(per_batch(_similar), "a long, b long, share double")
 
 
-def similar_pairs(firsts: DataFrame, threshold: float) -> DataFrame:
-    """Accepted (a, b) pairs of distinct lines (node, line) that link whatever shares a bucket and is similar."""
-    buckets = firsts.select("node", "line").mapInArrow(per_batch(_bands), "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
-    whole = Window.partitionBy("bucket")
-    members = buckets.select("bucket", "node", F.min("node").over(whole).alias("head"), F.max("node").over(whole).alias("last")).filter("head < last")
+def similar_pairs(found: DataFrame, threshold: float) -> DataFrame:
+    """Accepted (a, b) pairs of lines (node, line) that link whatever shares a bucket and is similar."""
+    buckets = found.select("node", "line").mapInArrow(per_batch(_bands), "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("node")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    members = buckets.select("bucket", "node", F.first("node").over(whole).alias("head"), F.last("node").over(whole).alias("last"), F.lag("node").over(order).alias("before"))
+    members = members.filter("head < last and (before is null or before <> node)")
     members = written(members.select("bucket", "node", "head"), "line-buckets")
-    judged = written(_judged(members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), firsts), "line-pairs")
+    texts = found.select("node", "line").groupBy("node").agg(F.min("line").alias("line")).join(members.select("node").distinct(), "node", "left_semi")
+    texts = written(texts, "line-texts")
+    judged = written(_judged(members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), texts), "line-pairs")
     far = judged.filter(F.col("share") < threshold).select(F.col("a").alias("node"), F.col("b").alias("head"))
     apart = members.join(far, ["node", "head"], "left_semi").select("bucket", F.col("node").alias("x"))
     rest = apart.join(members.select("bucket", F.col("node").alias("y"), "head"), "bucket").filter("y <> x and y <> head")
-    rest = _judged(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), firsts)
+    rest = _judged(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), texts)
     return judged.union(rest).filter(F.col("share") >= threshold).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of each line to drop, and the line of its component that stays."""
-    found = lines(docs)
-    node = F.xxhash64("line").alias("node")
-    firsts = found.select(node, "line", F.struct("doc_id", "line_no").alias("at")).groupBy("node").agg(F.min("at").alias("at"), F.min("line").alias("line"), F.count("*").alias("copies"))
-    firsts = written(firsts, "lines")
-    groups = components(similar_pairs(firsts, threshold), name="line-edges")
-    placed = firsts.select("node", "at", "copies").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    found = lines(docs).withColumn("node", F.xxhash64("line"))
+    groups = components(similar_pairs(found, threshold), name="line-edges")
     # a root is the least node of its component, so it has no root of its own
-    kept = placed.groupBy("group").agg(F.min("at").alias("kept"), F.sum("copies").alias("n")).filter("n > 1")
-    kept = placed.select("node", "group").join(kept.select("group", "kept"), "group").select("node", "kept")
-    gone = found.select("doc_id", "line_no", node).join(kept, "node").filter("struct(doc_id, line_no) <> kept")
+    placed = written(found.select("doc_id", "line_no", "node").distinct(), "line-places").join(groups, "node", "left")
+    placed = placed.select("doc_id", "line_no", F.coalesce("root", "node").alias("group"))
+    kept = placed.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("group", "kept")
+    gone = placed.join(kept, "group").filter("struct(doc_id, line_no) <> kept")
     return gone.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
 
 

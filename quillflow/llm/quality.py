@@ -37,7 +37,7 @@ _SHIFT = _U(64 - 18)
 
 def features(texts: pa.Array) -> Iterator[tuple[Chunk, list[tuple[np.ndarray, np.ndarray]]]]:
     """Of each chunk: (bucket, row) arrays, one pair for each kind of feature; rows ascend."""
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, limit=1 << 19):
         # one separator after every text, so that n-grams see both ends of a token
         joined = Chunk(pc.binary_join_element_wise(chunk.texts, *(pa.scalar(x, pa.large_string()) for x in ("", " "))), chunk.rows, lower=False)
         data = np.concatenate([np.array([32], np.uint8), joined.data])
@@ -110,7 +110,9 @@ def train(texts: list[str], classes: list[int], seed: int = 1) -> Model:
     seen = np.zeros(BUCKETS, np.int64)
     for bucket, _ in docs:
         seen[bucket] += 1
-    docs = [(bucket[some], share[some]) for bucket, share in docs for some in [seen[bucket] >= MIN_DOCS]]
+    for i, (bucket, share) in enumerate(docs):
+        some = seen[bucket] >= MIN_DOCS
+        docs[i] = bucket[some], share[some]
     vectors = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
     vectors[seen < MIN_DOCS] = 0  # what few documents have teaches nothing that holds for others
     layer = np.zeros((WIDTH, 3), np.float32)

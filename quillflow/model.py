@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,9 +73,37 @@ def documents(df: DataFrame, reference: Column | str, content: Column | str | No
     return df.select(*(start[name].cast(kind).alias(name) for name, (kind, _) in COLUMNS.items()))
 
 
+#: Names of boolean columns that hold handlers to a branch, the innermost last.
+_BRANCHES: ContextVar[tuple[str, ...]] = ContextVar("branches", default=())
+
+
+@contextmanager
+def branch(flag: str) -> Iterator[None]:
+    """While a branch is compiled, rows without its flag aren't active."""
+    token = _BRANCHES.set((*_BRANCHES.get(), flag))
+    try:
+        yield
+    finally:
+        _BRANCHES.reset(token)
+
+
+def free() -> Column:
+    """Whether a row has no error and is in the branch that is being compiled."""
+    on = F.col("error").isNull()
+    for flag in _BRANCHES.get():
+        on = on & F.col(flag)
+    return on
+
+
 def active() -> Column:
     """Whether handlers still work on a row."""
-    return F.col("rejected_by").isNull() & F.col("error").isNull()
+    return F.col("rejected_by").isNull() & free()
+
+
+def rejected(where: Column, by: str) -> Column:
+    """rejected_by after rejecting some rows. It names itself once, so that a filter on it stays small when pushed
+    through many such steps."""
+    return F.coalesce(F.col("rejected_by"), F.when(free() & where, F.lit(by)))
 
 
 def status() -> Column:

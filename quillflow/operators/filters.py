@@ -13,7 +13,7 @@ from typing import ClassVar, Literal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.matcher import TextMatcher, as_matcher
-from ..model import active
+from ..model import active, rejected
 from . import conditions as C
 from .base import Handler, register
 
@@ -31,11 +31,10 @@ class Filter(Handler):
         raise NotImplementedError
 
     def apply(self, df: DataFrame) -> DataFrame:
-        on, hit, name = active(), self.matches(), F.lit(type(self).__name__)
         if self.on_match == "exclude":
-            return df.withColumn("rejected_by", F.when(on & self.applies() & hit, name).otherwise(F.col("rejected_by")))
-        accepted = on & (~self.applies() | hit)
-        return df.withColumns({"include_hit": F.col("include_hit") | accepted, "has_include": F.col("has_include") | on})
+            return df.withColumn("rejected_by", rejected(self.applies() & self.matches(), type(self).__name__))
+        accepted = active() & (~self.applies() | self.matches())
+        return df.withColumns({"include_hit": F.col("include_hit") | accepted, "has_include": F.col("has_include") | active()})
 
 
 @register
@@ -190,5 +189,5 @@ class DOMContentFilter(Filter):
 
 def end_of_phase(df: DataFrame) -> DataFrame:
     """Rejects what reached include filters and was accepted by none, and begins the tally anew."""
-    lost = active() & F.col("has_include") & ~F.col("include_hit")
-    return df.withColumn("rejected_by", F.when(lost, F.lit("no include filter accepted")).otherwise(F.col("rejected_by"))).withColumns({"has_include": F.lit(False), "include_hit": F.lit(False)})
+    lost = F.col("has_include") & ~F.col("include_hit")
+    return df.withColumn("rejected_by", rejected(lost, "no include filter accepted")).withColumns({"has_include": F.lit(False), "include_hit": F.lit(False)})

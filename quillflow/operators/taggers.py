@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
 from ..functions import dates, dom, language, text as T
-from ..functions.fields import OnSet, drop, grouped, keep, no_values, pick, put, put_map, values
+from ..functions.fields import OnSet, drop, grouped, keep, let, no_values, pick, put, put_map, values
 from ..functions.matcher import TextMatcher, as_matcher
 from .base import Handler, blank, register, text
 
@@ -29,8 +29,14 @@ class Tagger(Handler):
         """The metadata map after the tagger."""
         raise NotImplementedError
 
+    def uses_python(self) -> bool:
+        """Whether tag() holds a Python function, which can't be part of a lambda."""
+        return False
+
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("metadata", F.when(self.guard(), self.tag(meta())).otherwise(meta()))
+        if self.uses_python():
+            return df.withColumn("metadata", F.when(self.guard(), self.tag(meta())).otherwise(meta()))
+        return df.withColumn("metadata", let(lambda m, on: F.when(on, self.tag(m)).otherwise(m), meta(), self.guard()))
 
 
 def many(function: Callable[[str], list[str]], source: Column) -> Column:
@@ -57,13 +63,15 @@ def change_fields(m: Column, field_matcher: TextMatcher, change: Callable[[Colum
     return F.map_filter(changed, lambda _, v: F.size(v) > 0)
 
 
-def in_place(m: Column, field_matcher: TextMatcher, change: Callable[[Column], Column]) -> Column:
-    """Like change_fields, for Python functions: all values of matching fields go through one call."""
-    entries = F.map_entries(keep(m, as_matcher(field_matcher)))
-    flat = change(F.flatten(F.transform(entries, lambda e: e["value"])))
-    size = lambda upto: F.aggregate(F.slice(entries, 1, upto), F.lit(0), lambda a, e: a + F.size(e["value"]))
-    back = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), F.slice(flat, size(i) + 1, F.size(e["value"])).alias("value")))
-    return F.when(F.size(entries) > 0, F.map_concat(drop(m, as_matcher(field_matcher)), F.map_from_entries(back))).otherwise(m)
+def in_place(m: Column, field_matcher: TextMatcher, function: Callable[[str], str]) -> Column:
+    """The map with a Python function applied to every value of matching fields."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda fields: [[function(x) for x in xs] for xs in (fields if fields is not None else ())])
+
+    found = keep(m, as_matcher(field_matcher))
+    return F.map_concat(drop(m, as_matcher(field_matcher)), F.map_from_arrays(F.map_keys(found), run(F.map_values(found))))
 
 
 @register
@@ -79,25 +87,21 @@ class CharacterCaseTagger(Tagger):
         if self.case_type not in T.CASES:
             raise ValueError(f"unknown case: {self.case_type}")
 
-    def change(self, v: Column) -> Column:
-        if self.case_type == "upper":
-            return F.transform(v, F.upper)
-        if self.case_type == "lower":
-            return F.transform(v, F.lower)
-        kind = self.case_type
-        return many(lambda x: [T.change_case(x, kind)], v)
+    def uses_python(self) -> bool:
+        return self.case_type not in ("upper", "lower")
 
     def tag(self, m: Column) -> Column:
-        built_in = self.case_type in ("upper", "lower")
+        kind, matcher = self.case_type, as_matcher(self.field_matcher)
+        built_in = {"upper": F.upper, "lower": F.lower}.get(kind)
         if self.apply_to in ("value", "both"):
-            m = change_fields(m, self.field_matcher, self.change) if built_in else in_place(m, self.field_matcher, self.change)
+            m = change_fields(m, matcher, lambda v: F.transform(v, built_in)) if built_in else in_place(m, matcher, lambda x: T.change_case(x, kind))
         if self.apply_to in ("field", "both"):
-            matcher = as_matcher(self.field_matcher)
-            names = F.filter(F.map_keys(m), matcher.test)
-            new = self.change(names)
-            renamed = F.arrays_zip(names.alias("old"), new.alias("new"))
-            entries = F.transform(F.map_entries(m), lambda e: F.struct(F.coalesce(F.get(F.filter(renamed, lambda r: r["old"] == e["key"]), F.lit(0))["new"], e["key"]).alias("key"), e["value"].alias("value")))
-            m = grouped(entries)
+            if built_in:
+                names = F.transform(F.map_keys(m), lambda k: F.when(matcher.test(k), built_in(k)).otherwise(k))
+            else:
+                marked = F.transform(F.map_keys(m), lambda k: F.concat(F.when(matcher.test(k), "1").otherwise("0"), k))
+                names = many(lambda x: [T.change_case(x[1:], kind) if x[0] == "1" else x[1:]], marked)
+            m = grouped(F.arrays_zip(names.alias("key"), F.map_values(m).alias("value")))
         return m
 
 
@@ -110,24 +114,26 @@ class CharsetTagger(Tagger):
     source_charset: str | None = None
     target_charset: str = "UTF-8"
 
+    def uses_python(self) -> bool:
+        return True
+
     def tag(self, m: Column) -> Column:
         from ..sources.detect import detect_charset
 
         source, target = self.source_charset, self.target_charset
 
-        def one(x: str) -> list[str]:
-            raw = x.encode(source or "latin-1", "replace")
+        def one(x: str) -> str:
             if (source or "").lower() == target.lower():
-                return [x]
-            if source is None:
-                try:
-                    raw = x.encode("latin-1")
-                except UnicodeEncodeError:
-                    return [x]
-                return [raw.decode(detect_charset(raw), "replace")]
-            return [raw.decode(target, "replace")]
+                return x
+            if source is not None:
+                return x.encode(source, "replace").decode(target, "replace")
+            try:
+                raw = x.encode("latin-1")
+            except UnicodeEncodeError:
+                return x
+            return raw.decode(detect_charset(raw), "replace")
 
-        return in_place(m, self.field_matcher, lambda v: many(one, v))
+        return in_place(m, self.field_matcher, one)
 
 
 @register
@@ -153,7 +159,7 @@ class CopyTagger(Tagger):
 
     def tag(self, m: Column) -> Column:
         for matcher, to in self.copies:
-            m = put(m, to, pick(m, as_matcher(matcher)), self.on_set)
+            m = let(lambda x, matcher=matcher, to=to: put(x, to, pick(x, as_matcher(matcher)), self.on_set), m)
         return m
 
 
@@ -193,12 +199,15 @@ class DateFormatTagger(Tagger):
     keep_bad_dates: bool = False
     on_set: OnSet = "append"
 
+    def uses_python(self) -> bool:
+        return any(dates._TEXTUAL.search(dates._unquoted(f)) for f in self.from_formats if not dates.is_epoch(f))
+
     def tag(self, m: Column) -> Column:
         def one(v: Column) -> Column:
             new = dates.write(F.coalesce(*(dates.parse(v, f) for f in self.from_formats)), self.to_format)
             return F.coalesce(new, v) if self.keep_bad_dates else new
 
-        if any(dates._TEXTUAL.search(dates._unquoted(f)) for f in self.from_formats if not dates.is_epoch(f)):
+        if self.uses_python():
             new = F.filter(F.array(*(one(F.get(values(m, self.from_field), F.lit(i))) for i in range(8))), lambda v: v.isNotNull())
         else:
             new = F.filter(F.transform(values(m, self.from_field), one), lambda v: v.isNotNull())
@@ -336,9 +345,12 @@ class HierarchyTagger(Tagger):
     regex: bool = False
     on_set: OnSet = "append"
 
+    def uses_python(self) -> bool:
+        return self.regex or self.keep_empty_segments or self.to_separator is None and len(self.from_separator) > 1
+
     def tag(self, m: Column) -> Column:
         source = values(m, self.from_field)
-        if self.regex or self.keep_empty_segments or self.to_separator is None and len(self.from_separator) > 1:
+        if self.uses_python():
             args = (self.from_separator, self.to_separator, self.keep_empty_segments, self.regex)
             new = many(lambda x: T.hierarchy(x, *args), source)
         else:
@@ -434,20 +446,20 @@ class RegexTagger(Tagger):
 
     def tag(self, m: Column) -> Column:
         for r in self.patterns:
-            matcher = TextMatcher(r.regex, "regex", ignore_case=r.ignore_case, ignore_diacritic=r.ignore_diacritic)
-            pattern = F.lit(matcher.flags() + matcher.body())
-            all_of = lambda v, g: F.regexp_extract_all(matcher.prepared(v), pattern, F.lit(max(0, g)))  # noqa: B023, E731
-            source = source_of(m, self.field_matcher)
-            found = F.flatten(F.transform(source, lambda v, r=r, all_of=all_of: all_of(v, r.value_group)))
-            if r.field_group > 0:
-                names = F.flatten(F.transform(source, lambda v, r=r, all_of=all_of: all_of(v, r.field_group)))
-                entries = F.zip_with(names, found, lambda k, v: F.struct(k.alias("key"), F.array(v).alias("value")))
-                entries = F.filter(entries, lambda e: F.length(e["key"]) > 0)
-                m = put_map(m, grouped(entries), r.on_set)
-            else:
-                m = put(m, r.to_field, found, r.on_set)
+            m = let(lambda x, r=r: self.one(x, r), m)
         return m
 
+    def one(self, m: Column, r: RegexRule) -> Column:
+        matcher = TextMatcher(r.regex, "regex", ignore_case=r.ignore_case, ignore_diacritic=r.ignore_diacritic)
+        pattern = F.lit(matcher.flags() + matcher.body())
+        source = source_of(m, self.field_matcher)
+        all_of = lambda g: F.flatten(F.transform(source, lambda v: F.regexp_extract_all(matcher.prepared(v), pattern, F.lit(max(0, g)))))
+        found = all_of(r.value_group)
+        if r.field_group <= 0:
+            return put(m, r.to_field, found, r.on_set)
+        entries = F.zip_with(all_of(r.field_group), found, lambda k, v: F.struct(k.alias("key"), F.array(v).alias("value")))
+        return put_map(m, grouped(F.filter(entries, lambda e: F.length(e["key"]) > 0)), r.on_set)
+
 
 @register
 @dataclass(kw_only=True)
@@ -470,11 +482,10 @@ class RenameTagger(Tagger):
     def tag(self, m: Column) -> Column:
         matcher = as_matcher(self.field_matcher)
         new = lambda k: matcher.replace(k, self.to_field) if matcher.method == "regex" else F.lit(self.to_field)
-        moved = F.filter(F.map_entries(m), lambda e: matcher.test(e["key"]) & (new(e["key"]) != e["key"]))
-        names = F.transform(moved, lambda e: e["key"])
-        rest = F.map_filter(m, lambda k, _: ~F.array_contains(names, k))
+        moves = lambda k: matcher.test(k) & (new(k) != k)
+        moved = F.filter(F.map_entries(m), lambda e: moves(e["key"]))
         arrived = grouped(F.transform(moved, lambda e: F.struct(new(e["key"]).alias("key"), e["value"].alias("value"))))
-        return put_map(rest, arrived, self.on_set)
+        return put_map(F.map_filter(m, lambda k, _: ~moves(k)), arrived, self.on_set)
 
 
 @register
@@ -509,6 +520,9 @@ class ScriptTagger(Tagger):
 
     script: str | Callable[..., Column]
 
+    def uses_python(self) -> bool:
+        return callable(self.script)
+
     def tag(self, m: Column) -> Column:
         from .conditions import script_column
 
@@ -544,6 +558,9 @@ class TextBetweenTagger(Tagger):
     inclusive: bool = False
     on_set: OnSet = "append"
 
+    def uses_python(self) -> bool:
+        return True
+
     def tag(self, m: Column) -> Column:
         start, end, inclusive = as_matcher(self.start_matcher), as_matcher(self.end_matcher), self.inclusive
         new = many(lambda x: T.text_between(x, start.python(), end.python(), inclusive), source_of(m, self.field_matcher))
@@ -599,6 +616,9 @@ class TitleGeneratorTagger(Tagger):
     on_set: OnSet = "append"
     max_read_size: int = 10_000
 
+    def uses_python(self) -> bool:
+        return True
+
     def tag(self, m: Column) -> Column:
         args = (self.title_max_length, self.detect_heading, self.detect_heading_min_length, self.detect_heading_max_length)
         source = values(m, self.from_field) if self.from_field else F.array(text())
@@ -617,19 +637,24 @@ class TruncateTagger(Tagger):
     append_hash: bool = False
     on_set: OnSet = "append"
 
+    def cut(self, x: str) -> str:
+        return T.truncate(x, self.max_length, self.suffix, self.append_hash)
+
     def change(self, v: Column) -> Column:
         if self.append_hash:
-            args = (self.max_length, self.suffix, True)
-            return many(lambda x: [T.truncate(x, *args)], v)
+            return many(lambda x: [self.cut(x)], v)
         cut = self.max_length - len(self.suffix)
         if cut < 0:
             raise ValueError("the suffix is longer than the text may be")
         return F.transform(v, lambda x: F.when(F.length(x) > self.max_length, F.concat(F.substring(x, 1, cut), F.lit(self.suffix))).otherwise(x))
 
+    def uses_python(self) -> bool:
+        return self.append_hash
+
     def tag(self, m: Column) -> Column:
         if self.to_field:
             return put(m, self.to_field, self.change(pick(m, as_matcher(self.field_matcher))), self.on_set)
-        return in_place(m, self.field_matcher, self.change) if self.append_hash else change_fields(m, self.field_matcher, self.change)
+        return in_place(m, self.field_matcher, self.cut) if self.append_hash else change_fields(m, self.field_matcher, self.change)
 
 
 @register
@@ -656,6 +681,9 @@ class UUIDTagger(Tagger):
     to_field: str = model.UUID
     on_set: OnSet = "append"
 
+    def uses_python(self) -> bool:
+        return True
+
     def tag(self, m: Column) -> Column:
         return put(m, self.to_field, F.array(F.uuid()), self.on_set)
 

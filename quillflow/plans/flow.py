@@ -44,30 +44,22 @@ def IfNot(condition: Condition, then: list, otherwise: list | None = None) -> If
     return If(condition, then, otherwise or [], negate=True)
 
 
-def _branch(df: DataFrame, flag: str, steps: list) -> DataFrame:
-    """Steps on the rows that a flag marks: the others are held as if rejected while they run."""
-    if not steps:
-        return df
-    held = f"_held{next(_numbers)}"
-    off = model.active() & ~F.col(flag)
-    df = df.withColumn(held, off).withColumn("rejected_by", F.when(F.col(held), F.lit("not in this branch")).otherwise(F.col("rejected_by")))
-    df = run_steps(df, steps)
-    return df.withColumn("rejected_by", F.when(F.col(held), F.lit(None).cast("string")).otherwise(F.col("rejected_by"))).drop(held)
-
-
 def run_steps(df: DataFrame, steps: list) -> DataFrame:
     for step in steps:
         if isinstance(step, Handler):
             df = step.apply(df)
         elif isinstance(step, Reject):
-            df = df.withColumn("rejected_by", F.when(model.active(), F.lit("Reject")).otherwise(F.col("rejected_by")))
+            df = df.withColumn("rejected_by", model.rejected(F.lit(True), "Reject"))
         elif isinstance(step, If):
             n = next(_numbers)
             yes, no = f"_then{n}", f"_else{n}"
             test = F.coalesce(step.condition.test(), F.lit(False))
             test = model.active() & (~test if step.negate else test)
             df = df.withColumn(yes, test).withColumn(no, model.active() & ~F.col(yes))
-            df = _branch(_branch(df, yes, step.then), no, step.otherwise).drop(yes, no)
+            for flag, inner in ((yes, step.then), (no, step.otherwise)):
+                with model.branch(flag):
+                    df = run_steps(df, inner)
+            df = df.drop(yes, no)
         elif callable(step):
             df = step(df)
         else:

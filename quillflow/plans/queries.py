@@ -31,6 +31,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def plain(tag: str) -> str:
+    """In SQL: the text of the first element of that tag, where it holds no other."""
+    inner = f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1)"
+    return f"trim(replace(replace(replace({inner}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,8 +49,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.table(load(spark, sf_dir, "pages"), "url", "html", {"page_id": "page_id"}, "text/html")
 
 
-def rows(spark: SparkSession, sf_dir: str, name: str, key: str, **fields: str) -> DataFrame:
-    return files.table(load(spark, sf_dir, name), key, F.lit(""), fields)
+def rows(spark: SparkSession, sf_dir: str, table: str, key: str, /, **fields: str) -> DataFrame:
+    return files.table(load(spark, sf_dir, table), key, F.lit(""), fields)
 
 
 def first(name: str) -> Column:
@@ -286,12 +292,11 @@ def regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(pages(spark, sf_dir), *columns, post=[ta.RegexTagger(patterns=rules)])
 
 
-@query("SELECT page_id, array_to_string(list_reverse(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)), '|') AS paragraphs FROM pages WHERE NOT regexp_matches(html, '(?s)<p>([^<]|<[^/]|</[^p])*<p>')")
+@query("SELECT page_id, array_to_string(list_reverse(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)), '|') AS items FROM pages")
 def text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose paragraphs don't nest, where pairs of marks are what one regular expression finds."""
-    nested = fi.TextFilter(value_matcher=regex("<p>([^<]|<[^/]|</[^p])*<p>", partial=True), on_match="exclude")
-    post = [nested, ta.TextBetweenTagger(to_field="p", start_matcher=basic("<p>"), end_matcher=basic("</p>"))]
-    return imported(pages(spark, sf_dir), first("page_id").cast("long").alias("page_id"), F.coalesce(joined("p"), F.lit("")).alias("paragraphs"), post=post)
+    """Items of lists; of these marks no pair overlaps another."""
+    post = [ta.TextBetweenTagger(to_field="li", start_matcher=basic("<li>"), end_matcher=basic("</li>"))]
+    return imported(pages(spark, sf_dir), first("page_id").cast("long").alias("page_id"), F.coalesce(joined("li"), F.lit("")).alias("items"), post=post)
 
 
 @query(
@@ -393,9 +398,9 @@ def no_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(docs(spark, sf_dir), ref(), F.col("content").alias("text"), first("body").alias("body"), post=post)
 
 
-@query("SELECT doc_id AS id, upper(text) AS text, CAST(length(text) AS VARCHAR) AS size FROM documents")
+@query("SELECT doc_id AS id, lower(text) AS text, CAST(length(text) AS VARCHAR) AS size FROM documents")
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = [ta.ScriptTagger(script="map('size', array(cast(length(content) as string)))"), tr.ScriptTransformer(script="upper(content)")]
+    post = [ta.ScriptTagger(script="map('size', array(cast(length(content) as string)))"), tr.ScriptTransformer(script="lower(content)")]
     return imported(docs(spark, sf_dir), ref(), F.col("content").alias("text"), first("size").alias("size"), post=post)
 
 
@@ -410,14 +415,14 @@ def charset(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DOM, splitters, parsing, flows
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<li>')) AS VARCHAR) AS items FROM pages")
+@query(f"SELECT page_id, {plain('title')} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<li>')) AS VARCHAR) AS items FROM pages")
 def dom_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [DOMRule("head > title", "title"), DOMRule("html", "lang", "attr(lang)"), DOMRule("nav li", "items", "tagName")]
     columns = [first("page_id").cast("long").alias("page_id"), F.coalesce(first("title"), F.lit("")).alias("title"), F.coalesce(first("lang"), F.lit("")).alias("lang"), F.size(F.coalesce(F.col("metadata")["items"], F.array())).cast("string").alias("items")]
     return imported(pages(spark, sf_dir), *columns, post=[ta.DOMTagger(rules=rules)])
 
 
-@query("SELECT page_id AS id, false AS has_nav, false AS has_script, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS heading FROM pages")
+@query("SELECT page_id AS id, false AS has_nav, false AS has_script, " + plain("h1") + " AS heading FROM pages")
 def dom_transformers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes navigation and scripts, then keeps the heading alone."""
     df = Pipeline(post=[tr.DOMDeleteTransformer(selectors=["nav", "script"])]).run(pages(spark, sf_dir))
@@ -442,7 +447,7 @@ def csv_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("name,segment\n"), F.array_join(lines, "\n")).alias("csv"))
     out = Pipeline(pre=[sp.CsvSplitter(use_first_row_as_fields=True)], max_depth=1).run(files.table(table, "c_nationkey", "csv", {}, "text/csv"))
     kids = out.filter("depth = 1")
-    return kids.select(F.element_at("parent_refs", 1).cast("int").alias("nation"), first("name").alias("name"), first("segment").alias("segment"), first(model.EMBEDDED_REFERENCE).alias("ref"))
+    return kids.select(F.get("parent_refs", F.lit(0)).cast("int").alias("nation"), first("name").alias("name"), first("segment").alias("segment"), first(model.EMBEDDED_REFERENCE).alias("ref"))
 
 
 @query("SELECT n_regionkey AS region, n_name AS name, n_nationkey AS key FROM nation")
@@ -452,11 +457,11 @@ def xml_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<region><list>"), F.array_join(F.collect_list(one), ""), F.lit("</list></region>")).alias("xml"))
     pipeline = Pipeline(pre=[If(BlankCondition(basic(model.EMBEDDED_INDEX)), [sp.XMLStreamSplitter(path="/region/list/nation")])], max_depth=1)
     kids = pipeline.run(files.table(table, "n_regionkey", "xml", {}, "application/xml")).filter("depth = 1")
-    return kids.select(F.element_at("parent_refs", 1).cast("int").alias("region"), F.xpath_string("content", F.lit("nation/name")).alias("name"), F.xpath_int("content", F.lit("nation/@key")).alias("key"))
+    return kids.select(F.get("parent_refs", F.lit(0)).cast("int").alias("region"), F.xpath_string("content", F.lit("nation/name")).alias("name"), F.xpath_int("content", F.lit("nation/@key")).alias("key"))
 
 
 @query(
-    r"""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, 'html' AS family, contains(html, '<h1>') AS has_heading FROM pages"""
+    f"""SELECT page_id, {plain('title')} AS title, 'html' AS family, contains(html, '<h1>') AS has_heading FROM pages"""
 )
 def parse_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as bytes: detected, parsed to text and metadata, then handled."""
