@@ -7,12 +7,14 @@ import csv
 import io
 import xml.sax
 import xml.sax.handler
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any, ClassVar
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import model
@@ -33,20 +35,28 @@ class Splitter(Handler):
         raise NotImplementedError
 
     def apply(self, df: DataFrame) -> DataFrame:
-        function, kind = self.function(), model.COLUMNS["children"][0]
-
-        @F.pandas_udf(kind)
-        def run(on: pd.Series, ref: pd.Series, content: pd.Series, ctype: pd.Series, meta: pd.Series) -> pd.Series:
-            def one(ok: bool, r: str, c: str, t: str | None, m: Any) -> list[Child]:
-                if not ok:
-                    return []
-                known = {k: list(v) for k, v in (m.items() if isinstance(m, dict) else m)} if m is not None else {}
-                return [{"reference": None, "content": None, "raw": None, "content_type": None, "metadata": {}} | x for x in function(r, c, t, known)]
-
-            return pd.Series([one(*x) for x in zip(on, ref, content, ctype, meta, strict=True)], dtype=object)
-
-        found = run(self.guard(), F.col("reference"), text(), F.col("content_type"), F.col("metadata"))
-        return df.withColumn("children", F.concat("children", found))
+        """Runs over Arrow batches of whole rows: the optimizer can't move an exploded column's Python call, nor repeat it."""
+        df = df.withColumn("_split", F.coalesce(self.guard(), F.lit(False)))
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+        return df.mapInArrow(partial(_split, function=self.function()), schema).drop("_split")
+
+
+def _split(batches: Iterator[pa.RecordBatch], function: Callable) -> Iterator[pa.RecordBatch]:
+    empty: Child = {"reference": None, "content": None, "raw": None, "content_type": None, "metadata": {}}
+    for batch in batches:
+        rows = np.flatnonzero(batch.column("_split").to_numpy(zero_copy_only=False))
+        if len(rows):
+            some = batch.take(pa.array(rows))
+            at = batch.schema.get_field_index("children")
+            kids = batch.column(at).to_pylist()
+            parts = (some.column(c).to_pylist() for c in ("reference", "content", "content_type", "metadata"))
+            for i, ref, content, kind, meta in zip(rows.tolist(), *parts, strict=True):
+                known = {k: list(v or ()) for k, v in meta or ()}
+                kids[i] = [*(kids[i] or ()), *(empty | x for x in function(ref, content or "", kind, known))]
+            for child in (c for i in rows.tolist() for c in kids[i]):
+                child["metadata"] = list(child["metadata"].items()) if isinstance(child["metadata"], dict) else child["metadata"]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(kids, batch.column(at).type))
+        yield batch
 
 
 @register
