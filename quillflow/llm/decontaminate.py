@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import written
+from .shared import unused, written
 from .textcore import Words, chunks, mix, per_batch
 
 THRESHOLD, RADIUS, BITS = 0.7, 15, 64
@@ -237,8 +237,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows of any doc_id that contains an item. Rows without doc_id are judged by nothing and stay."""
-    gone = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = written(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .components import components
-from .shared import written
+from .shared import unused, written
 from .textcore import Chunk, chunks, lists, mix, per_batch, runs, span_hashes
 
 #: At similarity s a pair shares a bucket with probability 1 - (1 - s**5)**12: 0.96 at 0.75, 0.99 at 0.8, 0.999 at 0.86.
@@ -165,10 +165,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the text rebuilt without the lines to drop; rows without any such line are as they were."""
-    gone = duplicate_lines(docs, threshold).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    both = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(_gone, i)), '\n')")
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    own, lost = unused(docs, "_id"), unused(docs, "_lost")
+    gone = duplicate_lines(docs, threshold).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(lost))
+    both = docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(lost, i)), "\n")
+    return both.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import written
+from .shared import unused, written
 
 SPACE = "[^ \\t\\n\\r]+"
 
@@ -132,15 +132,17 @@ def cuts(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 def select_documents(docs: DataFrame, plan: Plan = PLAN, epoch: str = "_epoch") -> DataFrame:
     """docs with a column for the epoch; a document that several epochs choose has a row for each."""
     names = [n for n, _ in LEVELS]
-    leaf = written(cuts(docs, plan), "mixing-cuts").select(*(F.col(n).alias(f"_leaf_{n}") for n in names), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    own_names = {n: unused(docs, f"_leaf_{n}") for n in (*names, "whole", "cut")}
+    leaf = written(cuts(docs, plan), "mixing-cuts").select(*(F.col(n).alias(own) for n, own in own_names.items()))
+    whole, cut = F.col(own_names["whole"]), F.col(own_names["cut"])
     own = {"domain": domain_of(F.col("source")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
     on = None
     for n in names:
-        same = own[n] == F.col(f"_leaf_{n}")
+        same = own[n] == F.col(own_names[n])
         on = same if on is None else on & same
     both = docs.filter("doc_id is not null").join(leaf, on)
-    both = both.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole"))))
-    chosen = both.filter((F.col(epoch) < F.col("_whole")) | (rank(F.col(epoch), F.col("doc_id").cast("long"), plan) <= F.col("_cut")))
+    both = both.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), whole)))
+    chosen = both.filter((F.col(epoch) < whole) | (rank(F.col(epoch), F.col("doc_id").cast("long"), plan) <= cut))
     return chosen.select(*(F.col(f"`{c}`") for c in docs.columns), epoch)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .shared import written
+from .shared import unused, written
 from .textcore import Words, binaries, chunks, lists, longs, mix, per_batch, runs, unit
 
 #: k coordinates in BANDS bands: at similarity s a pair shares a bucket with probability 1 - (1 - s**4)**32: 0.988 at
@@ -159,13 +159,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the duplicates; exactly repeated rows of a doc_id that stays are one. Rows without doc_id stay."""
-    gone = written(near_duplicates(docs).select(F.col("doc_id").alias("_gone")), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = written(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
+    name = unused(docs, "_other")
+    gone = written(near_duplicates(docs).select(F.col("doc_id").alias(name)), "gone")
+    match = F.col("doc_id").cast("long") == F.col(name)
+    kept = docs.join(gone, match, "left_anti")
+    again = docs.select(F.col("doc_id").cast("long").alias(name)).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").dropna().select(name)
+    again = written(again, "again")
     if again.isEmpty():
         return kept
-    match = F.col("doc_id") == F.col("_again")
-    return kept.join(again, match, "left_anti").union(kept.join(again, match, "left_semi").distinct())
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))), 256)  # a map column can't be compared itself
+    once = kept.join(again, match, "left_semi").withColumn(name, row).dropDuplicates([name]).drop(name)
+    return kept.join(again, match, "left_anti").union(once)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
