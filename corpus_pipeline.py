@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillflow.llm import decontaminate, mixing, near_dedup, quality, token_blocks
-from quillflow.llm.shared import written
+from quillflow.llm.shared import unused, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,7 +33,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the mixing plan's budgets; one that several epochs take has a row for each."""
-    return mixing.select_documents(docs, epoch="_mixing_epoch").drop("_mixing_epoch")
+    epoch = unused(docs, "_epoch")
+    return mixing.select_documents(docs, epoch=epoch).drop(epoch)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
