@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import unused, written
-from .textcore import Words, chunks, mix, per_batch
+from .textcore import Words, chunks, mix, map_batches
 
 THRESHOLD, RADIUS, BITS = 0.7, 15, 64
 SLICE_WORDS = 2_000_000
@@ -230,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     found = None
     for part in slices(benchmark):
-        here = rows.mapInArrow(per_batch(partial(_rows, items=part, threshold=threshold)), RESULT)
+        here = map_batches(rows, partial(_rows, items=part, threshold=threshold), RESULT)
         found = here if found is None else found.union(here)
     return docs.sparkSession.createDataFrame([], RESULT) if found is None else found
 

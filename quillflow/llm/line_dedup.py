@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .components import components
 from .shared import unused, written
-from .textcore import Chunk, chunks, lists, mix, per_batch, runs, span_hashes
+from .textcore import Chunk, chunks, lists, mix, map_batches, runs, span_hashes
 
 #: At similarity s a pair shares a bucket with probability 1 - (1 - s**5)**12: 0.96 at 0.75, 0.99 at 0.8, 0.999 at 0.86.
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 12, 5, 0.75
@@ -130,12 +130,12 @@ def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
     joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "la", "lb")
-    return joined.mapInArrow(per_batch(_similar), "a long, b long, share double")
+    return map_batches(joined, _similar, "a long, b long, share double")
 
 
 def similar_pairs(found: DataFrame, threshold: float) -> DataFrame:
     """Accepted (a, b) pairs of lines (node, line) that link whatever shares a bucket and is similar."""
-    buckets = found.select("node", "line").mapInArrow(per_batch(_bands), "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
+    buckets = map_batches(found.select("node", "line"), _bands, "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
     order = Window.partitionBy("bucket").orderBy("node")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     members = buckets.select("bucket", "node", F.first("node").over(whole).alias("head"), F.last("node").over(whole).alias("last"), F.lag("node").over(order).alias("before"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .shared import unused, written
-from .textcore import Words, binaries, chunks, lists, longs, mix, per_batch, runs, unit
+from .textcore import Words, binaries, chunks, lists, longs, mix, map_batches, runs, unit
 
 #: k coordinates in BANDS bands: at similarity s a pair shares a bucket with probability 1 - (1 - s**4)**32: 0.988 at
 #: 0.6, 0.9998 at 0.7. THRESHOLD is of the signatures' agreement, whose standard error is 0.044 at most.
@@ -132,13 +132,13 @@ def _judged(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """Distinct (a, b) pairs with the share of coordinates in which their signatures agree."""
     left, right = signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("sa")), signs.select(F.col("doc_id").alias("b"), F.col("sign").alias("sb"))
     joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(per_batch(_agree), "a long, b long, share double")
+    return map_batches(joined, _agree, "a long, b long, share double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): each document to drop and the one of its group that is kept, the least doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
-    sketch = written(rows.mapInArrow(per_batch(_sketch), SKETCH), "sketch")
+    sketch = written(map_batches(rows, _sketch, SKETCH), "sketch")
     ones = sketch.groupBy("doc_id").agg(F.min(F.struct("ha", "hb")).alias("h")).select("doc_id", "h.ha", "h.hb")
     same = written(ones.groupBy("ha", "hb").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")), "texts")
     copies = ones.join(same.filter("n > 1"), ["ha", "hb"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")

@@ -20,6 +20,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .textcore import map_batches
+
 DIGITS = frozenset("0123456789")
 _SCHEMES = frozenset({"http", "https", "ftp", "ftps", "sftp", "ws", "wss"})
 _SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key")
@@ -309,23 +311,22 @@ def find(t: str) -> list[Find]:
     return found
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            t = text.as_py()
-            if t:
-                for a, b, kind in find(t):
-                    for column, value in zip(out, (doc.as_py(), kind, a, b, t[a:b]), strict=True):
-                        column.append(value)
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "kind", "start", "end", "value"])
+def _rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    out: tuple[list, ...] = ([], [], [], [], [])
+    for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+        t = text.as_py()
+        if t:
+            for a, b, kind in find(t):
+                for column, value in zip(out, (doc.as_py(), kind, a, b, t[a:b]), strict=True):
+                    column.append(value)
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "kind", "start", "end", "value"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, value) of every find."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
-    return rows.mapInArrow(_rows, "doc_id long, kind string, start int, end int, value string")
+    return map_batches(rows, _rows, "doc_id long, kind string, start int, end int, value string")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .textcore import Chunk, chunks, per_batch, runs, span_hashes
+from .textcore import Chunk, chunks, map_batches, runs, span_hashes
 
 CLASSES = ("good", "low", "toxic")
 BUCKETS, WIDTH, TRAIN, EPOCHS, RATE, MIN_DOCS, KEEP = 1 << 18, 8, 5000, 10, 2.0, 8, 0.5
@@ -163,7 +163,7 @@ def scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id
     model = spark.sparkContext.broadcast(train(*sample(docs if training is None else training, labels)))
     rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(per_batch(partial(_rows, model=model)), f"{schema}, good double, low double, toxic double")
+    return map_batches(rows, partial(_rows, model=model), f"{schema}, good double, low double, toxic double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:

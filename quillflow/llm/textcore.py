@@ -7,12 +7,14 @@ lower-cased text; all other ASCII characters separate words. Null text counts as
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once, so that a worker's temporary arrays stay small. A longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -167,15 +169,31 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.diff(np.append(at, len(keys)))
 
 
-def per_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
-    """f over each batch, for mapInArrow; empty batches are passed over."""
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+#: Text and other columns of a batch that goes to a worker, in bytes; the JVM holds a copy outside its heap meanwhile.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with f over each batch that has rows. Batches are bounded in bytes unless the session has a bound of
+    its own, and what a worker needed for one is given back, so that it holds little between stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+            del batch
+            _trim()(0)
 
-    return run
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def longs(values: np.ndarray) -> pa.Array:
