@@ -346,7 +346,7 @@ class HierarchyTagger(Tagger):
     on_set: OnSet = "append"
 
     def uses_python(self) -> bool:
-        return self.regex or self.keep_empty_segments or self.to_separator is None and len(self.from_separator) > 1
+        return self.regex or self.keep_empty_segments
 
     def tag(self, m: Column) -> Column:
         source = values(m, self.from_field)
@@ -354,7 +354,7 @@ class HierarchyTagger(Tagger):
             args = (self.from_separator, self.to_separator, self.keep_empty_segments, self.regex)
             new = many(lambda x: T.hierarchy(x, *args), source)
         else:
-            to = self.to_separator if self.to_separator is not None else self.from_separator
+            to = self.to_separator or self.from_separator
 
             def one(v: Column) -> Column:
                 segments = F.filter(F.split(v, "\\Q" + self.from_separator + "\\E", -1), lambda s: s != "")

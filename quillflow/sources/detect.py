@@ -208,7 +208,10 @@ def prepare(df: DataFrame) -> DataFrame:
 
 
 def _always_null(df: DataFrame, column: str) -> bool:
-    """Whether the optimizer knows a column to be null in every row, as for documents made from text columns."""
+    """Whether the optimizer knows a column to be null in every row, as for documents made from text columns. What it
+    knows of a stream can't be asked before that starts."""
+    if df.isStreaming:
+        return False
     plan = df.select(column)._jdf.queryExecution().optimizedPlan()
     text = plan.projectList().toString() if plan.nodeName() == "Project" else ""
     return text.startswith("List(null AS")

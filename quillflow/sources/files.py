@@ -8,7 +8,8 @@ from .. import model
 
 
 def files(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files as documents: the path is the reference, the bytes are raw. Missing paths raise when the plan is made."""
+    """Files as documents: the path is the reference, the bytes are raw. Missing paths raise when the plan is made;
+    files without a byte are passed over by the scan."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
