@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .textcore import Chunk, chunks, map_batches, runs, span_hashes
+from .textcore import Chunk, chunks, map_batches, release, runs, span_hashes
 
 CLASSES = ("good", "low", "toxic")
 #: KEEP: of held-out documents at sf0.1, 0.975 of the good ones are kept at 0.7, and no toxic one with a word of abuse; at
@@ -140,7 +140,10 @@ def train(texts: list[str], classes: list[int], seed: int = 1) -> Model:
             past[bucket] += (share * share) * (back @ back)
             vectors[bucket] = own - (rate * share / np.sqrt(past[bucket]))[:, None] * back
             bias -= 0.1 * rate * p
-    return Model((vectors @ layer).T.copy(), bias.astype(np.float64), shares)
+    model = Model((vectors @ layer).T.copy(), bias.astype(np.float64), shares)
+    del docs, vectors
+    release()  # the driver goes on for hours after this
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> tuple[list[str], list[int]]:

@@ -171,10 +171,14 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def _trim() -> Callable[[int], int]:
-    """The C library's call that gives freed memory back to the system, where it has one."""
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library has a call for it."""
+    _trim()(0)
+
+
 #: Text and other columns of a batch that goes to a worker, in bytes; the JVM holds a copy outside its heap meanwhile.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -189,7 +193,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             if batch.num_rows:
                 yield from f(batch)
             del batch
-            _trim()(0)
+            release()
 
     if df.sparkSession.conf.get(_BATCH, None) is None:
         df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
