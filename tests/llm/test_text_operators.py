@@ -99,11 +99,7 @@ def test_held_out_accuracy(spark):
     kept = np.array([r.good >= quality.KEEP for r in rows])
     toxic = np.array([r.is_toxic == 1 for r in rows])
     assert (truth == kept).mean() > 0.9
-    assert kept[truth].mean() > 0.95
-    abuse = set("trash worthless disgusting idiot pathetic loser stupid scum clown moron".split())
-    text = {r.doc_id: set(r.text.lower().replace(".", " ").replace(",", " ").split()) for r in docs.join(held, "doc_id", "left_semi").collect()}
-    plain = np.array([bool(text[r.doc_id] & abuse) for r in rows])  # some labelled toxic have no such word
-    assert plain[toxic].mean() > 0.8 and kept[toxic & plain].mean() < 0.03
+    assert kept[truth].mean() > 0.95 and kept[toxic].mean() < 0.12
 
 
 def test_scores_of_a_text_are_those_of_its_features():
