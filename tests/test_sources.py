@@ -106,12 +106,12 @@ def test_configuration_round_trips(spark):
         config.load_pipeline({"post": [{"class": "ConstantTagger", "nope": 1}]})
 
 
-XML = """<importer><postParseHandlers>
+XML = """<pipeline><postParseHandlers>
   <if><condition class="TextCondition"><fieldMatcher>lang</fieldMatcher><valueMatcher>en</valueMatcher></condition>
     <then><handler class="ConstantTagger"><constant name="v">yes</constant></handler></then>
     <else><reject/></else></if>
   <handler class="ReplaceTransformer"><replace><valueMatcher replaceAll="true">a</valueMatcher><toValue>b</toValue></replace></handler>
-</postParseHandlers></importer>"""
+</postParseHandlers></pipeline>"""
 
 
 def test_configuration_from_xml(spark):
