@@ -579,26 +579,32 @@ class TextStatisticsTagger(Tagger):
     field_matcher: TextMatcher | None = None
 
     @staticmethod
-    def statistics(c: Column) -> dict[str, Column]:
-        lines = F.filter(F.transform(F.split(c, "\r\n|\r|\n", -1), lambda x: F.regexp_replace(x, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")), lambda x: x != "")
-        of = lambda f: F.aggregate(F.transform(lines, f), F.lit(0).cast("long"), lambda a, n: a + n)
-        chars = of(lambda x: F.length(x))
-        words = of(lambda x: F.regexp_count(x, F.lit(r"(?U)\w+\-?\w*")))
-        word_chars = of(lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(r"(?U)\w+\-?\w*"), F.lit(0)), F.lit(0).cast("long"), lambda a, w: a + F.length(w)))
-        sents = of(lambda x: F.size(F.sentences(x, F.lit("en"), F.lit("US"))))
-        paragraphs = F.size(lines).cast("long")
+    def statistics(c: Column, name: Callable[[str], Column]) -> Column:
+        """Entries of a text's statistics. Text, lines, words and counts are each computed once."""
+        total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, n: a + n)
         average = lambda a, b: F.when(b > 0, F.round(a.cast("decimal(20,0)") / b, 1).cast("decimal(18,1)").cast("string"))
-        found = [F.length(c).cast("long").cast("string"), words.cast("string"), sents.cast("string"), paragraphs.cast("string"), average(word_chars, words), average(chars, sents), average(words, sents), average(chars, paragraphs), average(sents, paragraphs), average(words, paragraphs)]
-        return dict(zip(STATISTICS, found, strict=True))
+
+        def lines_of(c: Column) -> Column:
+            return F.filter(F.transform(F.split(c, "\r\n|\r|\n", -1), lambda x: F.regexp_replace(x, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")), lambda x: x != "")
+
+        def counts(c: Column, lines: Column) -> Column:
+            words = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\w+\-?\w*"), F.lit(0))))
+            sentences = total(F.transform(lines, lambda x: F.size(F.sentences(x, F.lit("en"), F.lit("US")))))
+            return let(lambda words, *rest: let(entries, F.size(words).cast("long"), total(F.transform(words, lambda w: F.length(w))), *rest), words, F.length(c).cast("long"), total(F.transform(lines, lambda x: F.length(x))), sentences, F.size(lines).cast("long"))
+
+        def entries(words: Column, word_chars: Column, size: Column, chars: Column, sents: Column, paragraphs: Column) -> Column:
+            found = [size.cast("string"), words.cast("string"), sents.cast("string"), paragraphs.cast("string"), average(word_chars, words), average(chars, sents), average(words, sents), average(chars, paragraphs), average(sents, paragraphs), average(words, paragraphs)]
+            return F.array(*(F.struct(name(k).alias("key"), F.array(v).alias("value")) for k, v in zip(STATISTICS, found, strict=True)))
+
+        return let(lambda c: let(counts, c, lines_of(c)), c)
 
     def tag(self, m: Column) -> Column:
         if self.field_matcher is None or not as_matcher(self.field_matcher).configured:
-            new = F.array(*(F.struct(F.lit(f"document.stat.{k}").alias("key"), F.array(v).alias("value")) for k, v in self.statistics(text()).items()))
+            new = self.statistics(text(), lambda k: F.lit(f"document.stat.{k}"))
         else:
 
             def of(e: Column) -> Column:
-                stats = self.statistics(F.array_join(e["value"], "\n\n"))
-                return F.array(*(F.struct(F.concat(F.lit("document.stat."), e["key"], F.lit(f".{k}")).alias("key"), F.array(v).alias("value")) for k, v in stats.items()))
+                return self.statistics(F.array_join(e["value"], "\n\n"), lambda k: F.concat(F.lit("document.stat."), e["key"], F.lit(f".{k}")))
 
             new = F.flatten(F.transform(F.map_entries(keep(m, as_matcher(self.field_matcher))), of))
         return put_map(m, F.map_from_entries(F.filter(new, lambda e: F.get(e["value"], F.lit(0)).isNotNull())))
