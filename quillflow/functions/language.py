@@ -26,7 +26,7 @@ _COMMON = {
 def grams(text: str, limit: int | None = PROFILE) -> list[str]:
     """The n-grams of a text, most frequent first, equally frequent ones by name."""
     counts: Counter[str] = Counter()
-    for word, n in Counter(re.findall(r"[^\W\d_]+", text.lower())).items():
+    for word, n in Counter(m[0] for m in re.finditer(r"[^\W\d_]+", text.lower())).items():
         padded = f"_{word}_"
         for size in GRAMS:
             for i in range(len(padded) - size + 1):

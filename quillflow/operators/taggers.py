@@ -378,13 +378,14 @@ class KeepOnlyTagger(Tagger):
 @register
 @dataclass(kw_only=True)
 class LanguageTagger(Tagger):
-    """The best language of the content's first section; with keep_probabilities ranked tags and probabilities too."""
+    """The best language of the content, or of its first section_chars if set; with keep_probabilities ranked tags and
+    probabilities too."""
 
     keep_probabilities: bool = False
     fallback_language: str | None = None
     languages: list[str] = field(default_factory=list)
     to_field: str = model.LANGUAGE
-    section_chars: int = 10_000
+    section_chars: int | None = None
     profiles: dict[str, dict[str, int]] | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -394,7 +395,8 @@ class LanguageTagger(Tagger):
         def ranked(s: pd.Series) -> pd.Series:
             return s.map(lambda x: [{"tag": a, "probability": b} for a, b in language.rank(x, profiles, languages)])
 
-        df = df.withColumn("_ranked", ranked(F.substring(text(), 1, self.section_chars)))
+        section = text() if self.section_chars is None else F.substring(text(), 1, self.section_chars)
+        df = df.withColumn("_ranked", ranked(section))
         best = F.coalesce(F.get(F.col("_ranked"), F.lit(0))["tag"], F.lit(self.fallback_language))
         m = put(meta(), self.to_field, F.array(best), "replace")
         if self.keep_probabilities:
