@@ -11,8 +11,8 @@ grow with the data. Since the softmax layer is linear in the average, scoring ne
 each bucket: it sums those over the whole text, in one pass without a shuffle.
 
 Defined results: a document without tokens, also null text, has the class shares of the training labels. Labels that
-are null, repeated for a doc_id (the greatest values count) or of absent documents are handled before the sample. With
-no labelled document every document is good with probability 1. Rows with null or repeated doc_id are scored like
+are null, repeated for a doc_id (the greatest values count) or of documents that are absent or have no text are handled
+before the sample, so they don't use up its bound. With no labelled document every document is good with probability 1. Rows with null or repeated doc_id are scored like
 others. An empty table gives no rows.
 """
 
@@ -151,8 +151,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> tuple[list[
     """Texts and classes of the labelled documents to train on."""
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     kind = F.when(F.max("toxic") == 1, 2).when(F.max("quality") == 1, 0).otherwise(1)
-    chosen = known.agg(kind.alias("class")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+    # only labels with a text count towards `most`
+    present = known.agg(kind.alias("class")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` ids: a broadcast of bounded size
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("class").alias("class")).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["class"] for r in rows]

@@ -120,6 +120,17 @@ def test_quality_of_edge_rows(spark):
     assert quality.keep_good(empty_docs(spark), labels).count() == 0
 
 
+def test_labels_without_a_text_do_not_use_up_the_training_sample(spark):
+    ids = spark.range(quality.TRAIN + 2000).selectExpr("id doc_id", "int(id % 2) quality", "int(id % 5 = 0) toxic", "xxhash64(id) h")
+    last = ids.orderBy("h", ascending=False).limit(42).collect()[::-1]  # behind TRAIN others by hash
+    rows = [(r.doc_id, f"text of {r.doc_id}") for r in last[2:]] + [(last[0].doc_id, None), (last[1].doc_id, ""), (1_000_000, "no label")]
+    want = [(f"text of {r.doc_id}", 2 if r.toxic else 1 - r.quality) for r in last[2:]]
+    labels = ids.drop("h")
+    for most in (quality.TRAIN, 10):
+        got = quality.sample(docs_of(spark, rows), labels, most)
+        assert sorted(zip(*got, strict=True)) == sorted(want[:most])
+
+
 # Licenses
 
 
