@@ -1,15 +1,20 @@
 """Operator 5: fuzzy duplicates among lines, by MinHash over character shingles.
 
 A line is compared by its normal form, lower-cased and without spaces at its ends; lines whose normal form is empty
-take no part. Lines with equal normal forms are one, known by a 64-bit hash. Each distinct line's set of shingles (every
+take no part. Lines with equal normal forms are one, known by a 128-bit hash. Each distinct line's set of shingles (every
 run of 8 bytes of its UTF-8; a shorter line is one shingle) is hashed once into K bins whose least values are its
-signature, empty bins borrowing from full ones (A. Shrivastava, optimal densification, 2017). In every bucket of a band
-each line is paired with the least one; pairs are verified by the exact Jaccard similarity of their shingle sets, and
-lines that fail are paired with all others of the bucket, so that every pair that shares a bucket is either verified or
-linked already. Distributed union-find makes components, each keeping its first line by (doc_id, line_no).
+signature, empty bins borrowing from full ones (A. Shrivastava, optimal densification, 2017). Lines that share a bucket
+of a band are linked to a head of that bucket where the exact Jaccard similarity of their shingle sets reaches the
+threshold; distributed union-find makes components, each keeping its first line by (doc_id, line_no).
 
-Signatures are made where the text is read and only hashes are shuffled for the buckets. Of the text, each task's
-distinct lines move once, to be joined with the lines that share a bucket with another; the rest goes no further.
+Heads have two levels. Where a text is read, the lines of one Arrow batch that share a bucket are compared with the
+least of them at once; only that one goes on, in a packed block of (bucket, line) for each range of buckets, to be
+compared with the least of all batches. So a bucket that holds a third of all lines sends one entry for each batch, and
+most of its comparisons move no text. Lines that fail against their head, and those below a head that fails, are compared
+with all others of their bucket: every pair that shares a bucket is either verified or linked already.
+
+The documents are read once. Their distinct lines are written to the shared folder; of their texts only one copy moves,
+to meet the lines that share a bucket across batches.
 
 Defined results: null texts and rows with null doc_id have no lines; lines with the same (doc_id, line_no), as in
 repeated rows, are one occurrence of each distinct line. Other columns aren't read. An empty table gives no rows.
@@ -18,48 +23,76 @@ repeated rows, are one occurrence of each distinct line. Other columns aren't re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .shared import unused, written
-from .textcore import Chunk, chunks, lists, mix, map_batches, runs, span_hashes
+from .textcore import BATCH_BYTES, chunks, map_batches, map_partitions, mix
 
 #: At similarity s a pair shares a bucket with probability 1 - (1 - s**5)**12: 0.96 at 0.75, 0.99 at 0.8, 0.999 at 0.86.
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 12, 5, 0.75
 K = BANDS * ROWS
+#: Shingles that are compared or signed at once; a longer line is a piece of work of its own.
+PIECE = 1 << 16
 _U = np.uint64
-
-
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line that isn't blank, in normal form."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    return rows.filter("doc_id is not null").select("doc_id", "line_no", normal(F.col("line")).alias("line")).filter("line <> ''")
-
-
-def byte_shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each shingle, repeated ones included."""
-    n = len(chunk.data)
-    grams = np.zeros(n, np.uint64)
-    padded = np.concatenate([chunk.data, np.zeros(16, np.uint8)])
-    for at in range(8):
-        part = np.frombuffer(padded[at : at + (n - at + 7) // 8 * 8].tobytes(), "<u8")
-        grams[at::8] = part[: len(grams[at::8])]
-    size = np.diff(chunk.offsets)
-    row = np.repeat(np.arange(chunk.n), size)
-    fits = np.arange(n) + SHINGLE <= chunk.offsets[1:][row]
-    short = np.flatnonzero((size < SHINGLE) & (size > 0))
-    row, grams = row[fits], mix(grams[fits])
-    if len(short):
-        row = np.concatenate([row, short])
-        grams = np.concatenate([grams, span_hashes(chunk.data, chunk.offsets[:-1][short], chunk.offsets[1:][short])])
-    return row, grams
+#: Sorts behind every shingle: no UTF-8 text has such a byte.
+_NONE = _U(0xFFFFFFFFFFFFFFFF)
+
+
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number within the row, start and end, without spaces around, of each line that isn't blank."""
+    rows = np.flatnonzero(np.diff(offsets) > 0)
+    breaks = np.flatnonzero(data == 10)
+    row = np.concatenate([rows, np.searchsorted(offsets, breaks, "right") - 1])
+    start, end = np.concatenate([offsets[:-1][rows], breaks + 1]), np.concatenate([offsets[1:][rows], breaks])
+    # the nth start and the nth end of a text are those of its nth line
+    start, end = start[np.lexsort((start, row))], end[np.lexsort((end, row))]
+    row = np.sort(row)
+    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+    number = np.arange(len(row)) - np.repeat(at, np.diff(np.append(at, len(row))))
+    text = np.flatnonzero((data != 32) & (data != 10))
+    low, high = np.searchsorted(text, start), np.searchsorted(text, end)
+    some = low < high
+    return row[some], number[some], text[low[some]], text[high[some] - 1] + 1
+
+
+class Lines:
+    """Some lines' bytes in one array, with the shingles of any of them."""
+
+    def __init__(self, lines: list[bytes]):
+        self.raw = b"".join([*lines, b"\0" * SHINGLE])
+        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.size) - self.size
+        self.count = np.maximum(1, self.size - SHINGLE + 1)  # shingles, repeated ones included
+        self.grams = np.ndarray(max(0, len(self.raw) - SHINGLE + 1), "<u8", self.raw, strides=(1,))
+
+    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nth of which, and the 8 bytes of each shingle; a short line's are filled with zeros behind it."""
+        n = self.count[which]
+        nth = np.repeat(np.arange(len(which)), n)
+        at = np.arange(len(nth)) + np.repeat(self.start[which] - np.cumsum(n) + n, n)
+        found = self.grams[at]
+        short = np.flatnonzero(self.size[which] < SHINGLE)
+        if len(short):
+            # the bytes of the next line are cut off, and the length keeps "a" apart from "a\0"
+            where = (np.cumsum(n) - n)[short]
+            bits = (self.size[which[short]] * 8).astype(_U)
+            found[where] = (found[where] & ((_U(1) << bits) - _U(1))) | ((_U(0xF8) + (bits >> _U(3))) << _U(56))
+        return nth, found
+
+    def pieces(self, which: np.ndarray) -> Iterator[np.ndarray]:
+        """which, in order, in parts of about PIECE shingles."""
+        total = np.cumsum(self.count[which])
+        at = 0
+        while at < len(which):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE, "right")))
+            yield which[at:stop]
+            at = stop
 
 
 def signatures(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -86,81 +119,227 @@ def signatures(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return sign.reshape(n, K)
 
 
-def _bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Nodes and bucket keys; of lines that a batch repeats, one."""
-    first = np.unique(batch.column(0).to_numpy(), return_index=True)[1]
-    if len(first) < batch.num_rows:
-        batch = batch.take(pa.array(np.sort(first)))
-    for chunk in chunks(batch.column(1), lower=False):
-        sign = signatures(*byte_shingles(chunk), chunk.n).reshape(chunk.n, BANDS, ROWS).astype(np.uint64)
-        keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (chunk.n, BANDS)).copy()
+def bucket_keys(lines: Lines) -> np.ndarray:
+    """Lines x BANDS keys."""
+    out = [np.zeros((0, BANDS), _U)]
+    for which in lines.pieces(np.arange(len(lines.size))):
+        row, grams = lines.shingles(which)
+        sign = signatures(row, mix(grams), len(which)).reshape(len(which), BANDS, ROWS).astype(_U)
+        keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=_U)), (len(which), BANDS)).copy()
         for j in range(ROWS):
             keys = mix(keys + sign[:, :, j] * _U(0x9FB21C651E98DF25))
-        bands = lists(keys.reshape(-1).view(np.int64), np.full(chunk.n, BANDS))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.rows.start, chunk.n), bands], ["node", "bands"])
-
-
-def _sets(texts: pa.Array) -> np.ndarray:
-    """Sorted keys of row (16 bits) and shingle (48 bits), each once."""
-    out = []
-    for chunk in chunks(texts, lower=False):
-        row, h = byte_shingles(chunk)
-        out.append(runs(np.sort(((row + chunk.rows.start).astype(np.uint64) << _U(48)) | (h >> _U(16))))[0])
+        out.append(keys)
     return np.concatenate(out)
 
 
-def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of two columns of lines, row by row."""
-    n = len(left)
-    values = np.zeros(n)
-    for low in range(0, n, 32768):
-        here = min(n - low, 32768)
-        a, b = _sets(left.slice(low, here)), _sets(right.slice(low, here))
-        both, counts = runs(np.sort(np.concatenate([a, b]), kind="stable"))
-        count = lambda keys: np.bincount((keys >> _U(48)).astype(np.int64), minlength=here)
-        shared = count(both[counts == 2])
-        values[low : low + here] = shared / np.maximum(1, count(a) + count(b) - shared)
-    return values
+def jaccard(lines: Lines, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of the shingle sets of pairs of lines."""
+    share = np.zeros(len(a))
+    size = np.maximum(lines.count[a], lines.count[b])
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):  # pairs of like size are the rows of one matrix
+        stop = max(at + 1, min(at + max(1, PIECE // max(1, int(size[order[at]]))), int(np.searchsorted(size[order], size[order[at]] * 5 // 4 + 8, "right"))))
+        which = order[at:stop]
+        wide, n = int(size[which[-1]]), len(which)
+
+        def sets(side: np.ndarray, wide: int = wide, n: int = n) -> tuple[np.ndarray, np.ndarray]:
+            count = lines.count[side]
+            nth, grams = lines.shingles(side)
+            out = np.full((n, wide), _NONE)
+            out[nth, np.arange(len(nth)) - np.repeat(np.cumsum(count) - count, count)] = grams
+            out.sort(axis=1)
+            out[:, 1:][out[:, 1:] == out[:, :-1]] = _NONE
+            return out, (out != _NONE).sum(axis=1)
+
+        (x, many), (y, others) = sets(a[which]), sets(b[which])
+        both = np.concatenate([x, y], axis=1)
+        both.sort(axis=1)
+        shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)).sum(axis=1)
+        share[which] = shared / np.maximum(1, many + others - shared)
+        at = stop
+    return share
+
+
+def heads(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the entries by (key, id), and of each in that order the place of its key's first, and whether it is it."""
+    order = np.lexsort((ids, keys))
+    k = keys[order]
+    first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+    at = np.flatnonzero(first)
+    return order, np.repeat(at, np.diff(np.append(at, len(k)))), first
+
+
+#: Rows of three kinds: a batch's distinct lines with the places of each; blocks of buckets and lines, by range of
+#: buckets; and pairs compared within the batch. h is the first half of an id, by which lines are found.
+PASS = "h long, id binary, line string, docs array<long>, nos array<int>, part int, block binary, bucket long, a binary, b binary, share double"
+_NAMES = [x.split()[0] for x in PASS.split(", ")]
+_KINDS = [pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+
+
+def _rows_of(n: int, **columns: pa.Array | list) -> pa.RecordBatch:
+    """Columns by name, the others null."""
+    made = [columns[name] if name in columns else pa.nulls(n, kind) for name, kind in zip(_NAMES, _KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, _KINDS, strict=True)], _NAMES)
+
+
+def _read(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
+    doc_ids = batch.column(0).to_numpy()
+    place: dict[bytes, int] = {}
+    distinct: list[bytes] = []
+    node, doc, no = [], [], []
+    for chunk in chunks(batch.column(1)):
+        row, number, start, end = line_spans(chunk.data, chunk.offsets)
+        raw = chunk.data.tobytes()
+        for s, e in zip(start.tolist(), end.tolist(), strict=True):
+            line = raw[s:e]
+            i = place.setdefault(xxhash.xxh3_128_digest(line), len(distinct))
+            if i == len(distinct):
+                distinct.append(line)
+            node.append(i)
+        doc.append(doc_ids[chunk.rows][row])
+        no.append(number)
+    if not distinct:
+        return
+    nodes, docs, nos = np.array(node), np.concatenate(doc), np.concatenate(no).astype(np.int32)
+    order = np.lexsort((nos, docs, nodes))
+    nodes, docs, nos = nodes[order], docs[order], nos[order]
+    new = np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (docs[1:] != docs[:-1]) | (nos[1:] != nos[:-1])])
+    nodes, docs, nos = nodes[new], docs[new], nos[new]
+    ids = list(place)
+    h = np.frombuffer(b"".join(ids), _U)[::2]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(nodes, minlength=len(ids)))]).astype(np.int32)
+    for low in range(0, len(ids), 8192):  # rows that go back are bounded like those that came
+        high = min(len(ids), low + 8192)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets[low : high + 1] - offsets[low]), pa.array(x[offsets[low] : offsets[high]])) for x in (docs, nos)]
+        lines_here = pa.array(distinct[low:high], pa.binary()).cast(pa.string())
+        yield _rows_of(high - low, h=pa.array(h[low:high].view(np.int64)), id=ids[low:high], line=lines_here, docs=lists[0], nos=lists[1])
+
+    lines = Lines(distinct)
+    keys = bucket_keys(lines).reshape(-1)
+    owner = np.repeat(np.arange(len(ids)), BANDS)
+    order, head, first = heads(keys, h[owner])
+    mine, top = owner[order], owner[order[head]]
+    pair = np.flatnonzero(~first & (mine != top))
+    if len(pair):
+        a, b = mine[pair], top[pair]
+        both, again = np.unique(a * len(ids) + b, return_inverse=True)
+        share = jaccard(lines, both // len(ids), both % len(ids))[again]
+        yield _rows_of(len(pair), bucket=pa.array(keys[order[pair]].view(np.int64)), a=[ids[i] for i in a.tolist()], b=[ids[i] for i in b.tolist()], share=pa.array(share))
+    at = order[first]
+    yield from _blocks(keys[at], h[owner[at]], parts)
+
+
+def _blocks(keys: np.ndarray, h: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Entries in ascending order of their keys, a row for each of so many ranges of keys."""
+    part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    some, begin = np.unique(part, return_index=True)
+    end = np.append(begin[1:], len(keys))
+    packed = np.stack([keys, h], axis=1)
+    yield _rows_of(len(some), part=pa.array(some.astype(np.int32)), block=[packed[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, ha, hb): every entry that isn't its bucket's first, with that first one. The blocks come by range of
+    buckets; of what has been read of a range only one entry for each bucket is kept, however many a bucket has."""
+    known, owners = np.zeros(0, _U), np.zeros(0, _U)
+    waiting: list[bytes] = []
+
+    def work() -> Iterator[pa.RecordBatch]:
+        nonlocal known, owners
+        entries = np.frombuffer(b"".join(waiting), _U).reshape(-1, 2)
+        waiting.clear()
+        keys, ids = np.concatenate([known, entries[:, 0]]), np.concatenate([owners, entries[:, 1]])
+        later = np.arange(len(keys)) >= len(known)  # what is known stays first
+        order = np.lexsort((ids, later, keys))
+        k, i, new = keys[order], ids[order], later[order]
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        at = np.flatnonzero(first)
+        top = i[np.repeat(at, np.diff(np.append(at, len(k))))]
+        pair = new & ~first & (i != top)
+        known, owners = k[first], i[first]
+        yield pa.RecordBatch.from_arrays([pa.array(x[pair].view(np.int64)) for x in (k, i, top)], ["bucket", "ha", "hb"])
+
+    size, part = 0, None
+    for batch in batches:
+        for now, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if waiting and (now != part or size > 2 * BATCH_BYTES):
+                yield from work()
+                size = 0
+            if now != part:
+                known, owners = known[:0], owners[:0]
+            part = now
+            waiting.append(block)
+            size += len(block)
+    if waiting:
+        yield from work()
 
 
 def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jaccard(batch.column(2), batch.column(3)))], ["a", "b", "share"])
+    """Pairs of lines (bucket, a, la, b, lb) with the similarity of the two."""
+    n = batch.num_rows
+    texts = [x for c in (2, 4) for x in batch.column(c).cast(pa.binary()).to_pylist()]
+    share = jaccard(Lines(texts), np.arange(n), np.arange(n) + n)
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(share)], ["bucket", "a", "b", "share"])
 
 
 def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-    joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "la", "lb")
-    return map_batches(joined, _similar, "a long, b long, share double")
-
-
-def similar_pairs(found: DataFrame, threshold: float) -> DataFrame:
-    """Accepted (a, b) pairs of lines (node, line) that link whatever shares a bucket and is similar."""
-    buckets = map_batches(found.select("node", "line"), _bands, "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("node")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    members = buckets.select("bucket", "node", F.first("node").over(whole).alias("head"), F.last("node").over(whole).alias("last"), F.lag("node").over(order).alias("before"))
-    members = members.filter("head < last and (before is null or before <> node)")
-    members = written(members.select("bucket", "node", "head"), "line-buckets")
-    texts = found.select("node", "line").groupBy("node").agg(F.min("line").alias("line")).join(members.select("node").distinct(), "node", "left_semi")
-    texts = written(texts, "line-texts")
-    judged = written(_judged(members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), texts), "line-pairs")
-    far = judged.filter(F.col("share") < threshold).select(F.col("a").alias("node"), F.col("b").alias("head"))
-    apart = members.join(far, ["node", "head"], "left_semi").select("bucket", F.col("node").alias("x"))
-    rest = apart.join(members.select("bucket", F.col("node").alias("y"), "head"), "bucket").filter("y <> x and y <> head")
-    rest = _judged(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), texts)
-    return judged.union(rest).filter(F.col("share") >= threshold).select("a", "b")
+    """(bucket, a, b, share) of (bucket, ha, hb); each two lines are compared once, whatever buckets they share."""
+
+    def side(x: str) -> DataFrame:
+        return texts.select(F.col("h").alias(f"h{x}"), F.col("id").alias(x), F.col("line").alias(f"l{x}"))
+
+    joined = pairs.join(side("a"), "ha").join(side("b"), "hb").select("bucket", "a", "la", "b", "lb")
+    return map_batches(joined, _similar, "bucket array<long>, a binary, b binary, share double")
+
+
+def similar_pairs(read: DataFrame, threshold: float) -> DataFrame:
+    """Accepted (a, b) pairs of lines that link whatever shares a bucket and is similar."""
+    near = read.filter("share is not null").select("bucket", "a", "b", "share")
+    # in a fixed order, so that a task that runs again finds the same heads
+    blocks = read.filter("block is not null").select("part", "block").repartition("part").sortWithinPartitions("part", "block")
+    met = map_partitions(blocks, _meet, "bucket long, ha long, hb long")
+    met = written(met.groupBy("ha", "hb").agg(F.collect_list("bucket").alias("bucket")), "line-pairs")
+    lines = read.filter("line is not null").select("h", "id", "line")
+    some = met.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    texts = written(lines.join(some, "h", "left_semi").groupBy("h", "id").agg(F.first("line").alias("line")), "line-texts")
+    judged = written(_judged(met, texts), "line-judged")
+    found = judged.select(F.explode("bucket").alias("bucket"), "a", "b", "share").union(near)
+    good = found.filter(F.col("share") >= threshold).select("a", "b")
+    # lines that fail against their head, and the lines below a head that fails
+    far = written(found.filter(F.col("share") < threshold).select("bucket", "a", "b"), "line-far")
+    if far.isEmpty():
+        return good
+    below = found.join(far.select("bucket", F.col("a").alias("b")), ["bucket", "b"]).select("bucket", F.col("a").alias("x"))
+    apart = far.select("bucket", F.col("a").alias("x")).union(below).distinct()
+    members = found.select("bucket", F.explode(F.array("a", "b")).alias("y")).join(far.select("bucket").distinct(), "bucket", "left_semi").distinct()
+    tried = far.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    rest = apart.join(members, "bucket").filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    rest = written(rest, "line-rest")
+    every = lines.join(rest.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    every = written(every, "line-rest-texts")
+    both = rest.join(every.select(F.col("id").alias("x"), F.col("line").alias("lx")), "x").join(every.select(F.col("id").alias("y"), F.col("line").alias("ly")), "y")
+    # written, so that comparing and making components don't each keep a Python worker
+    late = map_batches(both.select(F.array().cast("array<long>").alias("bucket"), "x", "lx", "y", "ly"), _similar, "bucket array<long>, a binary, b binary, share double")
+    return good.union(written(late.filter(F.col("share") >= threshold).select("a", "b"), "line-late"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of each line to drop, and the line of its component that stays."""
-    found = lines(docs).withColumn("node", F.xxhash64("line"))
-    groups = components(similar_pairs(found, threshold), name="line-edges")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = written(map_batches(rows, partial(_read, parts=parts), PASS), "line-pass")
+    groups = components(similar_pairs(read, threshold), name="line-edges")
     # a root is the least node of its component, so it has no root of its own
-    placed = written(found.select("doc_id", "line_no", "node").distinct(), "line-places").join(groups, "node", "left")
-    placed = placed.select("doc_id", "line_no", F.coalesce("root", "node").alias("group"))
-    kept = placed.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("group", "kept")
-    gone = placed.join(kept, "group").filter("struct(doc_id, line_no) <> kept")
-    return gone.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
+    lines = read.filter("line is not null").select("id", "docs", "nos")
+    placed = lines.join(groups, lines["id"] == groups["node"], "left").select(F.coalesce("root", "id").alias("group"), "docs", "nos")
+    placed = placed.withColumn("first", F.struct(F.get("docs", F.lit(0)).alias("doc_id"), F.get("nos", F.lit(0)).alias("line_no")))
+    placed = written(placed, "line-places")
+    kept = placed.groupBy("group").agg(F.min("first").alias("kept"), F.sum(F.size("docs")).alias("n")).filter("n > 1").select("group", "kept")
+    all_of = placed.join(kept, "group").select("kept", F.explode(F.arrays_zip("docs", "nos")).alias("at"))
+    gone = all_of.filter("not (at.docs = kept.doc_id and at.nos = kept.line_no)")
+    out = gone.select(F.col("at.docs").alias("doc_id"), F.col("at.nos").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+    return out.distinct()
 
 
 def drop_duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

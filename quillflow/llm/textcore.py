@@ -76,6 +76,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """Lower case; bytes that aren't UTF-8 become replacement characters."""
+    try:
+        return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        raw = texts.cast(pa.large_binary()).to_pylist()
+        return pc.utf8_lower(pa.array([x.decode("utf-8", "replace") for x in raw], pa.large_string()))
+
+
 class Chunk:
     """Lower-cased bytes of some rows of a text column. rows: their slice of the batch."""
 
@@ -85,7 +94,7 @@ class Chunk:
             texts = texts.cast(pa.large_string())
         texts = pc.fill_null(texts, "")
         if lower:
-            texts = pc.utf8_lower(texts)
+            texts = _lower(texts)
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + self.n + 1]
@@ -184,9 +193,17 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def map_partitions(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with f over the batches of each partition, which are bounded in bytes unless the session has a bound
+    of its own. The bound stays set: the plan that is made here runs when its caller wants the rows."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with f over each batch that has rows. Batches are bounded in bytes unless the session has a bound of
-    its own, and what a worker needed for one is given back, so that it holds little between stages."""
+    """map_partitions with f over each batch that has rows; what a worker needed for one is given back, so that it
+    holds little between stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +212,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             del batch
             release()
 
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return map_partitions(df, run, schema)
 
 
 def longs(values: np.ndarray) -> pa.Array:

@@ -43,6 +43,14 @@ def test_components_are_those_of_plain_union_find(spark, seed):
     assert got == want
 
 
+def test_components_of_binary_nodes(spark):
+    pairs = [(1, 2), (5, 4), (2, 9), (300, 299)]
+    name = lambda i: i.to_bytes(16, "big")
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary").repartition(3)
+    got = {bytes(r.node): bytes(r.root) for r in components.components(df).collect()}
+    assert got == {name(2): name(1), name(9): name(1), name(5): name(4), name(300): name(299)}
+
+
 def test_components_of_no_edges(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -198,7 +206,54 @@ def test_lines_dropped_from_texts(spark):
 
 
 def test_line_jaccard_is_exact():
-    a, b = ["abcdefghijkl", "short", "", "äöüäöüäöü"], ["abcdefghijkx", "short", "x", "äöüäöüäöß"]
-    got = line_dedup.jaccard(pa.array(a), pa.array(b))
-    want = [len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) if x else 0.0 for x, y in zip(a, b, strict=True)]
+    rng = random.Random(1)
+    a, b = ["abcdefghijkl", "short", "", "äöüäöüäöü", "a", "x" * 300, LONG_LINE], ["abcdefghijkx", "short", "x", "äöüäöüäöß", "a\0", "x" * 20, LONG_LINE + "y"]
+    for _ in range(300):
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(60)))
+        at = rng.randrange(len(text) + 1)
+        a.append(text)
+        b.append(text[:at] + rng.choice(["", "x", "abca"]) + text[at:])
+    lines = line_dedup.Lines([x.encode() for x in a + b])
+    got = line_dedup.jaccard(lines, np.arange(len(a)), np.arange(len(a)) + len(a))
+    want = [len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) for x, y in zip(a, b, strict=True)]
     assert np.allclose(got, want)
+
+
+def test_line_spans_are_those_of_split():
+    texts = ["one\n  two \n\n three", "", "\n", "x", "\n\ny\n", "  ", "z\n", None, "a\r\nb"]
+    chunk = next(chunks(pa.array(texts)))
+    got = [(r, n, chunk.data[s:e].tobytes().decode()) for r, n, s, e in zip(*(x.tolist() for x in line_dedup.line_spans(chunk.data, chunk.offsets)), strict=True)]
+    want = [(r, n, line.strip(" ")) for r, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if line.strip(" ")]
+    assert got == want
+
+
+def test_lines_of_edge_documents_are_dropped(spark):
+    docs = edge_docs(spark)
+    out = line_dedup.drop_duplicate_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()}
+    assert {(2, ""), (3, None), (4, ""), (None, None)} < texts and {t for i, t in texts if i == 1} == {t for i, t in texts if i is None and t}
+    assert line_dedup.drop_duplicate_lines(empty_docs(spark)).count() == 0
+
+
+def test_a_hot_bucket_links_all_its_lines(spark):
+    """Batches of few rows, so that heads of heads, lines that fail and those below a head that fails all occur."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghij  ") for _ in range(100)).strip()
+    rows = []
+    for i in range(400):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            line[rng.randrange(len(line))] = rng.choice("uvwxyz")
+        rows.append((i, "".join(line)))
+    sets = {i: shingles(t.strip()) for i, t in rows}
+    near = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])]
+    root = groups_of(near)
+    want = {i for i, r in root.items() if i != r}
+    for records in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            got = {(r.doc_id, r.line_no) for r in line_dedup.duplicate_lines(docs_of(spark, rows)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got & {(i, 0) for i in want}) >= 0.99 * len(want) and not got - {(i, 0) for i in want}
