@@ -6,35 +6,45 @@ have. A window and an item match where the weighted Jaccard similarity of their
 
 Search: a window can only match if THRESHOLD of its own weight lies in shingles that items have (Jaccard s implies a
 shared weight of s times either side), which running sums tell for all windows at once, and a look at the shingles of
-just the items of that length tells again; the others can't match and need no fingerprint. The remaining windows get 64-bit SimHash fingerprints. These are looked up in RADIUS + 1 tables, one for
-each block of bits: by the pigeonhole principle, two fingerprints within RADIUS bits agree in one block at least, so
-every item within the radius is found. Candidates are then verified by their exact similarity.
+just the items of that length tells again; the others can't match and need no fingerprint. The remaining windows get
+SimHash fingerprints of BITS bits. These are looked up in a table for each block of 16 bits, under all values that
+differ from the block's in RADIUS // blocks bits at most: by the pigeonhole principle, two fingerprints within RADIUS
+bits are as near as that in one block at least, so every item within the radius is found, while of unlike items one in
+six is looked at. Candidates are then verified by their exact similarity.
 
-The benchmark is sent to the tasks; its words are counted first, and a larger benchmark is worked off in slices of
-SLICE_WORDS, one pass over the documents each. Documents are never shuffled.
+The benchmark is broadcast in slices of about SLICE_BYTES of text, one pass over the documents each. Documents are never
+shuffled.
 
 Defined results: items and texts that are null or have no word match nothing; repeated items each give their rows, and
-so do repeated documents. A document with fewer words than an item is one window of that item's length. Of a document's
+so do repeated documents. A document with fewer words than an item, however few, is one window. Of a document's
 windows for one item the most similar is given, the first of equals. Other columns aren't read. Empty tables give none.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import unused, written
 from .textcore import Words, chunks, mix, map_batches
 
-#: At the threshold, fingerprints differ in 12.3 bits on average (deviation 3.2), so the radius takes in 97 of 100 windows.
-THRESHOLD, RADIUS, BITS = 0.7, 18, 64
-SLICE_WORDS = 2_000_000
+#: A repeated shingle votes as a feature of its own for each copy, by the root of its weight; so Jaccard similarity s means
+#: a cosine of 2s / (1 + s) at least, and fingerprints of a pair at the threshold differ in 49 bits on average at most
+#: (deviation 6.3): the radius takes in 98 of 100 such pairs, and more of all nearer ones.
+THRESHOLD, RADIUS, BITS, BLOCK = 0.7, 63, 256, 16
+LANES, BLOCKS = BITS // 64, BITS // BLOCK
+SLICE_BYTES = 8 << 20
 _U = np.uint64
+_COPY = _U(0x2545F4914F6CDD1D)
+_LANES = mix(np.arange(1, LANES + 1, dtype=np.uint64))
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,48 +60,63 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def simhash(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Fingerprints of rows of (m x f) features: bit by bit, the sign of the weighted vote."""
-    out = np.zeros(len(keys), _U)
-    for low in range(0, len(keys), 2048):
-        k, w = np.ascontiguousarray(keys[low : low + 2048]), weights[low : low + 2048]
-        bits = np.unpackbits(k.view(np.uint8).reshape(*k.shape, 8), axis=2, bitorder="little")
-        votes = np.einsum("mf,mfb->mb", w, bits, dtype=np.float64) * 2 > w.sum(axis=1)[:, None]
-        out[low : low + 2048] = np.packbits(votes, axis=1, bitorder="little").view("<u8").reshape(-1)
+    """Fingerprints (m x LANES) of rows of (m x f) features: bit by bit, the sign of the weighted vote."""
+    out = np.zeros((len(keys), LANES), _U)
+    step = max(1, (1 << 16) // max(1, keys.shape[1]))
+    for low in range(0, len(keys), step):
+        k, w = keys[low : low + step], weights[low : low + step]
+        half = w.sum(axis=1)[:, None] / 2
+        for lane, seed in enumerate(_LANES):
+            bits = np.unpackbits(mix(k ^ seed).view(np.uint8).reshape(*k.shape, 8), axis=2, bitorder="little")
+            votes = np.einsum("mf,mfb->mb", w, bits, dtype=np.float64) > half
+            out[low : low + step, lane] = np.packbits(votes, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
-def block_bounds(radius: int = RADIUS) -> list[tuple[int, int]]:
-    edges = np.linspace(0, BITS, radius + 2).round().astype(int)
-    return [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+@lru_cache(maxsize=2)
+def ball(radius: int) -> np.ndarray:
+    """All values of a block with so many bits set at most."""
+    values = np.arange(1 << BLOCK)
+    return values[np.bitwise_count(values) <= radius]
+
+
+def blocks(prints: np.ndarray) -> np.ndarray:
+    """m x BLOCKS values."""
+    return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS).astype(np.int64)
 
 
 class HammingIndex:
-    """Fingerprints in a table for each block of bits; finds all within the radius."""
+    """Fingerprints in a table for each block of bits; finds all within the radius. seen counts what it looked at."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius, self.tables = prints, radius, []
-        for a, b in block_bounds(radius):
-            block = self._block(prints, a, b)
+        self.prints, self.radius, self.seen, self.tables = prints, radius, 0, []
+        for block in blocks(prints).T:
             order = np.argsort(block, kind="stable")
-            self.tables.append((order, np.searchsorted(block[order], np.arange((1 << (b - a)) + 1))))
-
-    @staticmethod
-    def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((prints >> _U(a)) & _U((1 << (b - a)) - 1)).astype(np.int64)
+            self.tables.append((order, *np.unique(block[order], return_index=True)))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) positions of all pairs within the radius, each once."""
         found = [np.zeros(0, np.int64)]
-        for low in range(0, len(prints), 4096):
-            q = prints[low : low + 4096]
-            for (a, b), (order, bound) in zip(block_bounds(self.radius), self.tables, strict=True):
-                value = self._block(q, a, b)
-                n = bound[value + 1] - bound[value]
-                query = np.repeat(np.arange(len(q)), n)
-                item = order[np.repeat(bound[value] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                ok = np.bitwise_count(q[query] ^ self.prints[item]) <= self.radius
-                found.append((query[ok] + low) * len(self.prints) + item[ok])
-        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.prints)))
+        reach, n = self.radius // BLOCKS, len(self.prints)
+        step = max(1, (1 << 20) // max(1, min(n, len(ball(reach)))))
+        for low in range(0, len(prints), step):
+            q = prints[low : low + step]
+            own = blocks(q)
+            for b, (order, values, begin) in enumerate(self.tables):
+                if len(values) < len(ball(reach)):  # fewer values in the table than in the ball
+                    query, place = np.nonzero(np.bitwise_count(own[:, b, None] ^ values) <= reach)
+                else:
+                    wanted = own[:, b, None] ^ ball(reach)
+                    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+                    query, nth = np.nonzero(values[at] == wanted)
+                    place = at[query, nth]
+                size = np.append(begin[1:], n)[place] - begin[place]
+                item = order[np.repeat(begin[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                query = np.repeat(query, size)
+                self.seen += len(item)
+                ok = np.bitwise_count(q[query] ^ self.prints[item]).sum(axis=1) <= self.radius
+                found.append((query[ok] + low) * n + item[ok])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, n))
 
 
 def multiset(single: np.ndarray, size: np.ndarray, pair: np.ndarray, weight: np.ndarray, a: int, b: int) -> dict[tuple[int, float], int]:
@@ -116,14 +141,16 @@ class Benchmark:
     def __init__(self, ids: tuple[int, ...], texts: tuple[str, ...]):
         words = next(chunks(pa.array(texts, pa.large_string()), limit=1 << 62)).words()
         parts = features(words)
-        self.lengths: dict[int, tuple[list[int], list[dict], HammingIndex, np.uint64]] = {}
+        self.lengths: dict[int, tuple[list[int], list[dict], HammingIndex, np.uint64, float]] = {}
         self.bits = int(np.clip(np.ceil(np.log2(len(words.hashes) * 128 + 1)), 16, 26))
         self.filter = np.zeros(1 << self.bits, _U)
         for nth, n in enumerate(np.unique(words.counts[words.counts > 0]).tolist()):
             rows = np.flatnonzero(words.counts == n)
             begin = words.first[rows]
             slot = _U(nth % 64)
-            self.lengths[n] = ([ids[i] for i in rows], [multiset(*parts, a, a + n) for a in begin.tolist()], HammingIndex(window_prints(*parts, begin, n)), slot)
+            items = [multiset(*parts, a, a + n) for a in begin.tolist()]
+            lightest = min(sum(k[1] * m for k, m in x.items()) for x in items)
+            self.lengths[n] = ([ids[i] for i in rows], items, HammingIndex(window_prints(*parts, begin, n)), slot, lightest)
             at = begin[:, None] + np.arange(n)
             for keys in (parts[0][at], parts[2][at[:, :-1]]):
                 self.filter[self._place(keys).reshape(-1)] |= _U(1) << slot
@@ -136,17 +163,43 @@ class Benchmark:
         return self.filter[self._place(keys)]
 
 
-@lru_cache(maxsize=2)
-def benchmark_of(ids: tuple[int, ...], texts: tuple[str, ...]) -> Benchmark:
-    """Built once in each worker."""
-    return Benchmark(ids, texts)
+@dataclass(frozen=True)
+class _Part:
+    """A slice of the benchmark, broadcast, with a name that workers know it by."""
+
+    id: int
+    items: Broadcast
+
+    @property
+    def value(self) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        return self.items.value
+
+
+_built: dict[int, Benchmark] = {}
+
+
+def benchmark_of(part) -> Benchmark:
+    """Of a broadcast slice; built once in each worker, which keeps the last two."""
+    if part.id not in _built:
+        while len(_built) > 1:
+            del _built[next(iter(_built))]
+        _built[part.id] = Benchmark(*part.value)
+    return _built[part.id]
 
 
 def window_prints(single: np.ndarray, size: np.ndarray, pair: np.ndarray, weight: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(begin), _U)
-    for low in range(0, len(begin), 4096):
-        at = begin[low : low + 4096, None] + np.arange(n)
-        out[low : low + 4096] = simhash(np.hstack([single[at], pair[at[:, :-1]]]), np.hstack([size[at], weight[at[:, :-1]]]))
+    out = np.zeros((len(begin), LANES), _U)
+    step = max(1, (1 << 16) // n)
+    for low in range(0, len(begin), step):
+        at = begin[low : low + step, None] + np.arange(n)
+        keys, weights = np.hstack([single[at], pair[at[:, :-1]]]), np.hstack([size[at], weight[at[:, :-1]]])
+        order = np.argsort(keys, axis=1)
+        keys = np.take_along_axis(keys, order, axis=1)
+        place = np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
+        new = np.ones(keys.shape, bool)
+        new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+        copy = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        out[low : low + step] = simhash(mix(keys + copy.astype(_U) * _COPY), np.sqrt(np.take_along_axis(weights, order, axis=1)))
     return out
 
 
@@ -163,13 +216,15 @@ def matches(words: Words, bench: Benchmark, threshold: float = THRESHOLD) -> lis
     opening = sums + pair_sums
     closing = sums.copy()
     closing[1:] += pair_sums[:-1]
+    heavy = np.concatenate([[0.0], np.cumsum(size + weight)])  # a text's last pair weighs nothing
     left = words.first[words.row + 1] - np.arange(total)
     whole = words.counts[words.row] == left  # first words of their texts
 
     def promising(begin: np.ndarray, n: int, slot: np.uint64) -> np.ndarray:
         kept = [begin[:0]]
-        for low in range(0, len(begin), 8192):
-            b = begin[low : low + 8192]
+        step = max(1, (1 << 18) // n)
+        for low in range(0, len(begin), step):
+            b = begin[low : low + step]
             at = b[:, None] + np.arange(n)
             gain = (size[at] * (((has_single[at] >> slot) & _U(1)) - threshold)).sum(axis=1)
             at = at[:, :-1]
@@ -177,12 +232,13 @@ def matches(words: Words, bench: Benchmark, threshold: float = THRESHOLD) -> lis
             kept.append(b[gain >= -1e-6])
         return np.concatenate(kept)
 
-    for n, (_, items, index, slot) in bench.lengths.items():
+    for n, (_, items, index, slot, lightest) in bench.lengths.items():
         begin = np.flatnonzero(closing[n:] >= opening[: total + 1 - n] - 1e-6) if total >= n else np.zeros(0, np.int64)
         begin = begin[left[begin] >= n]
         groups = [(begin, n)]
-        short = np.flatnonzero(whole & (left < n) & (left >= threshold * n * 0.25))
-        short = short[closing[short + left[short]] >= opening[short] - 1e-6]
+        # a shorter text is one window; it can only match if it weighs THRESHOLD of the lightest item
+        short = np.flatnonzero(whole & (left < n))
+        short = short[(closing[short + left[short]] >= opening[short] - 1e-6) & (heavy[short + left[short]] - heavy[short] >= threshold * lightest - 1e-6)]
         groups += [(short[left[short] == m], m) for m in np.unique(left[short]).tolist()]
         for start, m in groups:
             start = promising(start, m, slot)
@@ -200,8 +256,8 @@ def matches(words: Words, bench: Benchmark, threshold: float = THRESHOLD) -> lis
     return [(row, bench.lengths[n][0][i], a, b, s) for (row, n, i), (s, a, b) in best.items()]
 
 
-def _rows(batch: pa.RecordBatch, items: tuple, threshold: float) -> Iterator[pa.RecordBatch]:
-    bench = benchmark_of(*items)
+def _rows(batch: pa.RecordBatch, part, threshold: float) -> Iterator[pa.RecordBatch]:
+    bench = benchmark_of(part)
     for chunk in chunks(batch.column(1)):
         words = chunk.words()
         found = matches(words, bench, threshold)
@@ -215,11 +271,11 @@ def _rows(batch: pa.RecordBatch, items: tuple, threshold: float) -> Iterator[pa.
 RESULT = "doc_id long, item_id long, first_word int, last_word int, similarity double"
 
 
-def slices(benchmark: DataFrame, most: int = SLICE_WORDS) -> Iterator[tuple[tuple[int, ...], tuple[str, ...]]]:
-    """The benchmark, each item once, in parts of about so many words, each small enough for driver and tasks."""
+def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[tuple[tuple[int, ...], tuple[str, ...]]]:
+    """The benchmark's items in parts of about so many bytes of text, each small enough for driver and tasks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
-    words = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    parts = -(-words // most)
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-total // most)
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
         if rows:
@@ -228,10 +284,11 @@ def slices(benchmark: DataFrame, most: int = SLICE_WORDS) -> Iterator[tuple[tupl
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, similarity) of each item found in a document; words count from 0."""
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     found = None
     for part in slices(benchmark):
-        here = map_batches(rows, partial(_rows, items=part, threshold=threshold), RESULT)
+        here = map_batches(rows, partial(_rows, part=_Part(uuid.uuid4().int, sc.broadcast(part)), threshold=threshold), RESULT)
         found = here if found is None else found.union(here)
     return docs.sparkSession.createDataFrame([], RESULT) if found is None else found
 

@@ -7,14 +7,9 @@ signature, empty bins borrowing from full ones (A. Shrivastava, optimal densific
 of a band are linked to a head of that bucket where the exact Jaccard similarity of their shingle sets reaches the
 threshold; distributed union-find makes components, each keeping its first line by (doc_id, line_no).
 
-Heads have two levels. Where a text is read, the lines of one Arrow batch that share a bucket are compared with the
-least of them at once; only that one goes on, in a packed block of (bucket, line) for each range of buckets, to be
-compared with the least of all batches. So a bucket that holds a third of all lines sends one entry for each batch, and
-most of its comparisons move no text. Lines that fail against their head, and those below a head that fails, are compared
-with all others of their bucket: every pair that shares a bucket is either verified or linked already.
-
-The documents are read once. Their distinct lines are written to the shared folder; of their texts only one copy moves,
-to meet the lines that share a bucket across batches.
+Buckets are worked off as in meeting.py: by heads of two levels, without a cap. The documents are read twice, for the
+lines, which are written to the shared folder, and for the buckets. Of the texts one copy of each distinct line moves, to
+meet the lines that share a bucket across batches.
 
 Defined results: null texts and rows with null doc_id have no lines; lines with the same (doc_id, line_no), as in
 repeated rows, are one occurrence of each distinct line. Other columns aren't read. An empty table gives no rows.
@@ -31,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
+from .meeting import MEETING, linked, meet_here, shards
 from .shared import unused, written
-from .textcore import BATCH_BYTES, chunks, map_batches, map_partitions, mix
+from .textcore import chunks, map_batches, mix
 
 #: At similarity s a pair shares a bucket with probability 1 - (1 - s**5)**12: 0.96 at 0.75, 0.99 at 0.8, 0.999 at 0.86.
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 12, 5, 0.75
@@ -132,207 +128,138 @@ def bucket_keys(lines: Lines) -> np.ndarray:
     return np.concatenate(out)
 
 
-def jaccard(lines: Lines, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of pairs of lines."""
-    share = np.zeros(len(a))
-    size = np.maximum(lines.count[a], lines.count[b])
-    order = np.argsort(size, kind="stable")
-    at = 0
-    while at < len(order):  # pairs of like size are the rows of one matrix
-        stop = max(at + 1, min(at + max(1, PIECE // max(1, int(size[order[at]]))), int(np.searchsorted(size[order], size[order[at]] * 5 // 4 + 8, "right"))))
-        which = order[at:stop]
-        wide, n = int(size[which[-1]]), len(which)
-
-        def sets(side: np.ndarray, wide: int = wide, n: int = n) -> tuple[np.ndarray, np.ndarray]:
-            count = lines.count[side]
-            nth, grams = lines.shingles(side)
-            out = np.full((n, wide), _NONE)
-            out[nth, np.arange(len(nth)) - np.repeat(np.cumsum(count) - count, count)] = grams
-            out.sort(axis=1)
-            out[:, 1:][out[:, 1:] == out[:, :-1]] = _NONE
-            return out, (out != _NONE).sum(axis=1)
-
-        (x, many), (y, others) = sets(a[which]), sets(b[which])
-        both = np.concatenate([x, y], axis=1)
-        both.sort(axis=1)
-        shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)).sum(axis=1)
-        share[which] = shared / np.maximum(1, many + others - shared)
-        at = stop
-    return share
-
-
-def heads(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the entries by (key, id), and of each in that order the place of its key's first, and whether it is it."""
-    order = np.lexsort((ids, keys))
-    k = keys[order]
-    first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    return order, np.repeat(at, np.diff(np.append(at, len(k)))), first
-
+class Sets:
+    """The distinct shingles of some lines, each line's in ascending order, made once."""
 
-#: Rows of three kinds: a batch's distinct lines with the places of each; blocks of buckets and lines, by range of
-#: buckets; and pairs compared within the batch. h is the first half of an id, by which lines are found.
-PASS = "h long, id binary, line string, docs array<long>, nos array<int>, part int, block binary, bucket long, a binary, b binary, share double"
-_NAMES = [x.split()[0] for x in PASS.split(", ")]
-_KINDS = [pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+    def __init__(self, lines: Lines, which: np.ndarray):
+        self.place = np.zeros(len(lines.size), np.int64)
+        order = which[np.argsort(lines.count[which], kind="stable")]
+        self.place[order] = np.arange(len(order))
+        kept, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(order):  # lines of like size are the rows of one matrix
+            least = int(lines.count[order[at]])
+            near = int(np.searchsorted(lines.count[order], least * 5 // 4 + 8, "right"))
+            some = order[at : max(at + 1, min(near, at + max(1, PIECE // least)))]
+            count = lines.count[some]
+            nth, grams = lines.shingles(some)
+            rows = np.full((len(some), int(count[-1])), _NONE)
+            rows[nth, np.arange(len(nth)) - np.repeat(np.cumsum(count) - count, count)] = grams
+            rows.sort(axis=1)
+            new = rows != _NONE
+            new[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+            kept.append(rows[new])
+            sizes.append(new.sum(axis=1))
+            at += len(some)
+        self.values, self.size = np.concatenate(kept), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
 
 
-def _rows_of(n: int, **columns: pa.Array | list) -> pa.RecordBatch:
-    """Columns by name, the others null."""
-    made = [columns[name] if name in columns else pa.nulls(n, kind) for name, kind in zip(_NAMES, _KINDS, strict=True)]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, _KINDS, strict=True)], _NAMES)
+def jaccard(lines: Lines, a: np.ndarray, b: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Exact Jaccard similarity of the shingle sets of pairs of lines. Of a pair whose sets' sizes show it to be below
+    least, it's the bound that they set."""
+    sets = Sets(lines, np.unique(np.concatenate([a, b])))
+    a, b = sets.place[a], sets.place[b]
+    low, high = np.minimum(sets.size[a], sets.size[b]), np.maximum(sets.size[a], sets.size[b])
+    share = low / np.maximum(1, high)
+    open_ = np.flatnonzero(share >= least)
+    open_ = open_[np.argsort(b[open_], kind="stable")]
+    total = np.cumsum(sets.size[a[open_]])
+    last = np.flatnonzero(np.append(b[open_[1:]] != b[open_[:-1]], True)) + 1 if len(open_) else open_
+    at = 0
+    for end in last.tolist():  # all that are compared with the same line
+        own = sets.values[sets.start[b[open_[at]]] :][: sets.size[b[open_[at]]]]
+        while at < end:
+            stop = max(at + 1, min(end, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE, "right"))))
+            pairs = open_[at:stop]
+            n = sets.size[a[pairs]]
+            begin = np.cumsum(n) - n
+            theirs = sets.values[np.arange(int(n.sum())) + np.repeat(sets.start[a[pairs]] - begin, n)]
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            shared = np.add.reduceat(hit, begin, dtype=np.int64)
+            share[pairs] = shared / (n + len(own) - shared)
+            at = stop
+    return share
 
 
-def _read(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
-    doc_ids = batch.column(0).to_numpy()
-    place: dict[bytes, int] = {}
-    distinct: list[bytes] = []
-    node, doc, no = [], [], []
+def _distinct(batch: pa.RecordBatch, places: bool) -> tuple[list[bytes], list[bytes], tuple[np.ndarray, ...]]:
+    """Ids and lines of a batch's distinct lines; and if asked for, of each occurrence the line's place in these, doc_id
+    and number, in order and once each."""
+    ids: dict[bytes, int] = {}
+    lines: list[bytes] = []
+    node, doc, no = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for chunk in chunks(batch.column(1)):
         row, number, start, end = line_spans(chunk.data, chunk.offsets)
         raw = chunk.data.tobytes()
         for s, e in zip(start.tolist(), end.tolist(), strict=True):
             line = raw[s:e]
-            i = place.setdefault(xxhash.xxh3_128_digest(line), len(distinct))
-            if i == len(distinct):
-                distinct.append(line)
+            i = ids.setdefault(xxhash.xxh3_128_digest(line), len(lines))
+            if i == len(lines):
+                lines.append(line)
             node.append(i)
-        doc.append(doc_ids[chunk.rows][row])
-        no.append(number)
-    if not distinct:
-        return
-    nodes, docs, nos = np.array(node), np.concatenate(doc), np.concatenate(no).astype(np.int32)
+        if places:
+            doc.append(batch.column(0).slice(chunk.rows.start, chunk.n).to_numpy()[row])
+            no.append(number)
+    if not places:
+        return list(ids), lines, ()
+    nodes, docs, nos = np.array(node, np.int64), np.concatenate(doc), np.concatenate(no).astype(np.int32)
     order = np.lexsort((nos, docs, nodes))
     nodes, docs, nos = nodes[order], docs[order], nos[order]
-    new = np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (docs[1:] != docs[:-1]) | (nos[1:] != nos[:-1])])
-    nodes, docs, nos = nodes[new], docs[new], nos[new]
-    ids = list(place)
-    h = np.frombuffer(b"".join(ids), _U)[::2]
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(nodes, minlength=len(ids)))]).astype(np.int32)
+    new = np.ones(len(nodes), bool)
+    new[1:] = (nodes[1:] != nodes[:-1]) | (docs[1:] != docs[:-1]) | (nos[1:] != nos[:-1])
+    return list(ids), lines, (nodes[new], docs[new], nos[new])
+
+
+def _h(ids: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), _U)[::2]
+
+
+LINES = "h long, id binary, line string, docs array<long>, nos array<int>"
+
+
+def _lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's distinct lines, with the places of each."""
+    ids, lines, (nodes, docs, nos) = _distinct(batch, True)
+    h = _h(ids).view(np.int64)
+    bound = np.concatenate([[0], np.cumsum(np.bincount(nodes, minlength=len(ids)))]).astype(np.int32)
     for low in range(0, len(ids), 8192):  # rows that go back are bounded like those that came
         high = min(len(ids), low + 8192)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets[low : high + 1] - offsets[low]), pa.array(x[offsets[low] : offsets[high]])) for x in (docs, nos)]
-        lines_here = pa.array(distinct[low:high], pa.binary()).cast(pa.string())
-        yield _rows_of(high - low, h=pa.array(h[low:high].view(np.int64)), id=ids[low:high], line=lines_here, docs=lists[0], nos=lists[1])
-
-    lines = Lines(distinct)
-    keys = bucket_keys(lines).reshape(-1)
-    owner = np.repeat(np.arange(len(ids)), BANDS)
-    order, head, first = heads(keys, h[owner])
-    mine, top = owner[order], owner[order[head]]
-    pair = np.flatnonzero(~first & (mine != top))
-    if len(pair):
-        a, b = mine[pair], top[pair]
-        both, again = np.unique(a * len(ids) + b, return_inverse=True)
-        share = jaccard(lines, both // len(ids), both % len(ids))[again]
-        yield _rows_of(len(pair), bucket=pa.array(keys[order[pair]].view(np.int64)), a=[ids[i] for i in a.tolist()], b=[ids[i] for i in b.tolist()], share=pa.array(share))
-    at = order[first]
-    yield from _blocks(keys[at], h[owner[at]], parts)
-
-
-def _blocks(keys: np.ndarray, h: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Entries in ascending order of their keys, a row for each of so many ranges of keys."""
-    part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-    some, begin = np.unique(part, return_index=True)
-    end = np.append(begin[1:], len(keys))
-    packed = np.stack([keys, h], axis=1)
-    yield _rows_of(len(some), part=pa.array(some.astype(np.int32)), block=[packed[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, ha, hb): every entry that isn't its bucket's first, with that first one. The blocks come by range of
-    buckets; of what has been read of a range only one entry for each bucket is kept, however many a bucket has."""
-    known, owners = np.zeros(0, _U), np.zeros(0, _U)
-    waiting: list[bytes] = []
-
-    def work() -> Iterator[pa.RecordBatch]:
-        nonlocal known, owners
-        entries = np.frombuffer(b"".join(waiting), _U).reshape(-1, 2)
-        waiting.clear()
-        keys, ids = np.concatenate([known, entries[:, 0]]), np.concatenate([owners, entries[:, 1]])
-        later = np.arange(len(keys)) >= len(known)  # what is known stays first
-        order = np.lexsort((ids, later, keys))
-        k, i, new = keys[order], ids[order], later[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        at = np.flatnonzero(first)
-        top = i[np.repeat(at, np.diff(np.append(at, len(k))))]
-        pair = new & ~first & (i != top)
-        known, owners = k[first], i[first]
-        yield pa.RecordBatch.from_arrays([pa.array(x[pair].view(np.int64)) for x in (k, i, top)], ["bucket", "ha", "hb"])
-
-    size, part = 0, None
-    for batch in batches:
-        for now, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if waiting and (now != part or size > 2 * BATCH_BYTES):
-                yield from work()
-                size = 0
-            if now != part:
-                known, owners = known[:0], owners[:0]
-            part = now
-            waiting.append(block)
-            size += len(block)
-    if waiting:
-        yield from work()
-
-
-def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines (bucket, a, la, b, lb) with the similarity of the two."""
-    n = batch.num_rows
-    texts = [x for c in (2, 4) for x in batch.column(c).cast(pa.binary()).to_pylist()]
-    share = jaccard(Lines(texts), np.arange(n), np.arange(n) + n)
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(share)], ["bucket", "a", "b", "share"])
+        lists = [pa.ListArray.from_arrays(pa.array(bound[low : high + 1] - bound[low]), pa.array(x[bound[low] : bound[high]])) for x in (docs, nos)]
+        columns = [pa.array(h[low:high]), pa.array(ids[low:high], pa.binary()), pa.array(lines[low:high], pa.binary()).cast(pa.string()), *lists]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "id", "line", "docs", "nos"])
+
+
+def _meeting(batch: pa.RecordBatch, parts: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    ids, lines, _ = _distinct(batch, False)
+    if ids:
+        some = Lines(lines)
+        yield from meet_here(bucket_keys(some), ids, _h(ids), lambda a, b: jaccard(some, a, b, threshold), parts)
 
 
-def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(bucket, a, b, share) of (bucket, ha, hb); each two lines are compared once, whatever buckets they share."""
-
-    def side(x: str) -> DataFrame:
-        return texts.select(F.col("h").alias(f"h{x}"), F.col("id").alias(x), F.col("line").alias(f"l{x}"))
-
-    joined = pairs.join(side("a"), "ha").join(side("b"), "hb").select("bucket", "a", "la", "b", "lb")
-    return map_batches(joined, _similar, "bucket array<long>, a binary, b binary, share double")
-
-
-def similar_pairs(read: DataFrame, threshold: float) -> DataFrame:
-    """Accepted (a, b) pairs of lines that link whatever shares a bucket and is similar."""
-    near = read.filter("share is not null").select("bucket", "a", "b", "share")
-    # in a fixed order, so that a task that runs again finds the same heads
-    blocks = read.filter("block is not null").select("part", "block").repartition("part").sortWithinPartitions("part", "block")
-    met = map_partitions(blocks, _meet, "bucket long, ha long, hb long")
-    met = written(met.groupBy("ha", "hb").agg(F.collect_list("bucket").alias("bucket")), "line-pairs")
-    lines = read.filter("line is not null").select("h", "id", "line")
-    some = met.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
-    texts = written(lines.join(some, "h", "left_semi").groupBy("h", "id").agg(F.first("line").alias("line")), "line-texts")
-    judged = written(_judged(met, texts), "line-judged")
-    found = judged.select(F.explode("bucket").alias("bucket"), "a", "b", "share").union(near)
-    good = found.filter(F.col("share") >= threshold).select("a", "b")
-    # lines that fail against their head, and the lines below a head that fails
-    far = written(found.filter(F.col("share") < threshold).select("bucket", "a", "b"), "line-far")
-    if far.isEmpty():
-        return good
-    below = found.join(far.select("bucket", F.col("a").alias("b")), ["bucket", "b"]).select("bucket", F.col("a").alias("x"))
-    apart = far.select("bucket", F.col("a").alias("x")).union(below).distinct()
-    members = found.select("bucket", F.explode(F.array("a", "b")).alias("y")).join(far.select("bucket").distinct(), "bucket", "left_semi").distinct()
-    tried = far.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    rest = apart.join(members, "bucket").filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    rest = written(rest, "line-rest")
-    every = lines.join(rest.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    every = written(every, "line-rest-texts")
-    both = rest.join(every.select(F.col("id").alias("x"), F.col("line").alias("lx")), "x").join(every.select(F.col("id").alias("y"), F.col("line").alias("ly")), "y")
-    # written, so that comparing and making components don't each keep a Python worker
-    late = map_batches(both.select(F.array().cast("array<long>").alias("bucket"), "x", "lx", "y", "ly"), _similar, "bucket array<long>, a binary, b binary, share double")
-    return good.union(written(late.filter(F.col("share") >= threshold).select("a", "b"), "line-late"))
+def _similar(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines (bucket, a, la, b, lb) with the similarity of the two."""
+    seen: dict[bytes, int] = {}
+    texts: list[bytes] = []
+    places = []
+    for ids, lines in ((batch.column(1), batch.column(2)), (batch.column(3), batch.column(4))):
+        found = [seen.setdefault(x, len(seen)) for x in ids.to_pylist()]
+        new = np.unique(np.array(found, np.int64), return_index=True)
+        first = new[1][new[0] >= len(texts)]
+        texts += lines.take(pa.array(first)).cast(pa.binary()).to_pylist()
+        places.append(np.array(found, np.int64))
+    share = jaccard(Lines(texts), *places, threshold)
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(share)], ["bucket", "a", "b", "share"])
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of each line to drop, and the line of its component that stays."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = written(map_batches(rows, partial(_read, parts=parts), PASS), "line-pass")
-    groups = components(similar_pairs(read, threshold), name="line-edges")
+    lines = written(map_batches(rows, _lines, LINES), "line-texts")
+    meeting = map_batches(rows, partial(_meeting, parts=shards(rows), threshold=threshold), MEETING)
+    near = linked(meeting, lines.select("h", "id", F.col("line").alias("item")), partial(_similar, threshold=threshold), threshold, "line")
+    groups = components(near, name="line-edges")
     # a root is the least node of its component, so it has no root of its own
-    lines = read.filter("line is not null").select("id", "docs", "nos")
-    placed = lines.join(groups, lines["id"] == groups["node"], "left").select(F.coalesce("root", "id").alias("group"), "docs", "nos")
+    placed = lines.select("id", "docs", "nos").join(groups, F.col("id") == groups["node"], "left").select(F.coalesce("root", "id").alias("group"), "docs", "nos")
     placed = placed.withColumn("first", F.struct(F.get("docs", F.lit(0)).alias("doc_id"), F.get("nos", F.lit(0)).alias("line_no")))
     placed = written(placed, "line-places")
     kept = placed.groupBy("group").agg(F.min("first").alias("kept"), F.sum(F.size("docs")).alias("n")).filter("n > 1").select("group", "kept")

@@ -6,31 +6,36 @@ process; the darts inside a document's weights and below a rank that gives about
 belongs to one of k coordinates, and each coordinate keeps its earliest dart (T. Christiani, DartMinHash, 2020). Two
 documents agree in a coordinate with a probability of their weighted Jaccard similarity.
 
-Equal word sequences are joined by a 128-bit hash. Of each band's bucket, every member is compared with the least
-doc_id; those that don't reach the threshold are compared with all members, so no pair that shares a bucket is missed,
-while a tight group of n copies costs n comparisons. Union-find then makes groups of the accepted pairs.
-
-Defined results: rows with null doc_id, and texts that are null or have no word, are in no group. Repeated rows of a
-doc_id count as one document, its least word sequence by hash. Of equally good documents the least doc_id is kept.
-Other columns, whatever their names, aren't read. An empty table gives no rows.
+Equal word sequences are one text, known by a 128-bit hash. Texts that share a band's bucket are linked as in
+meeting.py: to heads of two levels, without a cap. The share of coordinates in which two texts agree decides where it is
+more than MARGIN (three standard errors) from the threshold; between, the texts themselves are fetched and their exact
+weighted Jaccard similarity decides. Union-find then makes groups of the accepted pairs.
+
+Defined results: rows with null doc_id, and texts that are null or have no word, are in no group. Rows of a doc_id with
+the same word sequence are one document, those with others are documents of their own. Of a group the least (doc_id,
+text's hash) is kept. Other columns, whatever their names, aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .shared import unused, written
-from .textcore import Words, binaries, chunks, lists, longs, mix, map_batches, runs, unit
+from .meeting import JUDGED, MEETING, linked, meet_here, shards
+from .shared import discard, unused, written
+from .textcore import CHUNK_BYTES, Words, chunks, longs, map_batches, mix, runs, unit
 
-#: k coordinates in BANDS bands: at similarity s a pair shares a bucket with probability 1 - (1 - s**4)**32: 0.988 at
-#: 0.6, 0.9998 at 0.7. THRESHOLD is of the signatures' agreement, whose standard error is 0.044 at most.
-K, BANDS, THRESHOLD, SHINGLE = 128, 32, 0.5, 3
+#: k coordinates; BANDS bands of ROWS of them, in which every coordinate takes part twice, with other partners: at
+#: similarity s a pair shares a bucket with a probability of about 0.96 at 0.5, 0.99 at 0.55, 0.999 at 0.6.
+K, BANDS, ROWS, THRESHOLD, MARGIN, SHINGLE = 128, 64, 4, 0.5, 0.133, 3
 _U = np.uint64
+_TURNS = np.concatenate([np.arange(K), np.random.default_rng(29).permutation(K)])
 
 
 def weighted_shingles(words: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,83 +98,150 @@ def _throw(r: np.ndarray, seed: np.ndarray, x: np.ndarray, base: float, width: f
     sign[slot[won]] = ident[won]
 
 
-def band_keys(sign: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """n x bands bucket keys."""
-    n, k = sign.shape
-    parts = sign.reshape(n, bands, k // bands).astype(np.uint64)
-    keys = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
-    for j in range(k // bands):
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """n x BANDS bucket keys."""
+    n = len(sign)
+    parts = sign[:, _TURNS].reshape(n, BANDS, ROWS).astype(np.uint64)
+    keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, BANDS)).copy()
+    for j in range(ROWS):
         keys = mix(keys + parts[:, :, j] * _U(0x9FB21C651E98DF25))
     return keys
 
 
-def _sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ids = batch.column(0)
-    for chunk in chunks(batch.column(1)):
-        words = chunk.words()
-        a, b = words.text_hashes()
-        sign = dart_minhash(*weighted_shingles(words), words.n)
-        some = words.counts > 0
-        keys = band_keys(sign)[some]
-        columns = [ids.slice(chunk.rows.start, chunk.n).filter(pa.array(some)), longs(a[some]), longs(b[some])]
-        size = np.full(int(some.sum()), 4 * K)
-        columns += [binaries(sign[some].view(np.uint8).reshape(-1), size), lists(keys.reshape(-1).view(np.int64), np.full(len(keys), BANDS))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ha", "hb", "sign", "bands"])
+def _ids(words: Words) -> list[bytes]:
+    """128-bit hashes of the rows' word sequences."""
+    raw = np.stack(words.text_hashes(), axis=1).tobytes()
+    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
-SKETCH = "doc_id long, ha long, hb long, sign binary, bands array<long>"
+#: A batch's distinct texts, each with its signature and the documents that have it, and what meeting.py has of it.
+PASS = f"h long, id binary, docs array<long>, sign binary, {MEETING}"
+
+
+def _read(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
+    doc_ids = batch.column(0).to_pylist()
+    docs: dict[bytes, set[int]] = {}
+    signs = [np.zeros((0, K), np.uint32)]
+    for chunk in chunks(batch.column(1)):
+        words = chunk.words()
+        new = np.zeros(words.n, bool)
+        for i, (text, n) in enumerate(zip(_ids(words), words.counts.tolist(), strict=True)):
+            if n:
+                new[i] = text not in docs
+                docs.setdefault(text, set()).add(doc_ids[chunk.rows.start + i])
+        row, element, weight = weighted_shingles(words)
+        use = new[row]
+        signs.append(dart_minhash(row[use], element[use], weight[use], words.n)[new])
+    if not docs:
+        return
+    sign, ids = np.concatenate(signs), list(docs)
+    h = np.frombuffer(b"".join(ids), _U)[::2]
+    own = [longs(h), pa.array(ids, pa.binary()), pa.array([sorted(x) for x in docs.values()], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sign], pa.binary())]
+    names = [x.split()[0] for x in PASS.split(", ")]
+    meeting = list(meet_here(band_keys(sign), ids, h, lambda a, b: (sign[a] == sign[b]).mean(axis=1), parts))
+    yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(ids), x.type) for x in meeting[0].columns)], names)
+    for some in meeting:
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(some.num_rows, x.type) for x in own), *some.columns], names)
 
 
 def _agree(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     def of(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
 
-    share = (of(batch.column(2)) == of(batch.column(3))).mean(axis=1)
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["a", "b", "share"])
-
-
-def _judged(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs with the share of coordinates in which their signatures agree."""
-    left, right = signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("sa")), signs.select(F.col("doc_id").alias("b"), F.col("sign").alias("sb"))
-    joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return map_batches(joined, _agree, "a long, b long, share double")
+    share = (of(batch.column(2)) == of(batch.column(4))).mean(axis=1)
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(share)], ["bucket", "a", "b", "share"])
+
+
+def _named(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(id, *columns of the batch), the text being the last of these."""
+    ids = [x for chunk in chunks(batch.columns[-1]) for x in _ids(chunk.words())]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *batch.columns], ["id", *batch.schema.names])
+
+
+def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Exact weighted Jaccard similarity of two columns of texts, row by row."""
+    out = [np.zeros(0)]
+    size = np.cumsum(pc.binary_length(left).to_numpy() + pc.binary_length(right).to_numpy())
+    low = 0
+    while low < len(left):
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + CHUNK_BYTES, "right")))
+        n = high - low
+        words = next(chunks(pa.concat_arrays([left.slice(low, n), right.slice(low, n)]), limit=1 << 62)).words()
+        row, element, weight = weighted_shingles(words)
+        order = np.lexsort((row // n, element, row % n))
+        pair, e, w = row[order] % n, element[order], weight[order]
+        same = np.flatnonzero((pair[1:] == pair[:-1]) & (e[1:] == e[:-1]))
+        shared = np.bincount(pair[same], np.minimum(w[same], w[same + 1]), n)
+        out.append(shared / np.maximum(np.bincount(pair, w, n) - shared, 1e-300))
+        low = high
+    return np.concatenate(out)
+
+
+def _exact(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    share = weighted_jaccard(batch.column(2), batch.column(4))
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(share)], ["bucket", "a", "b", "share"])
+
+
+def _refined(pairs: DataFrame, rows: DataFrame, read: DataFrame, threshold: float) -> DataFrame:
+    """The pairs, those near the threshold with their exact similarity."""
+    near = F.abs(F.col("share") - threshold) < MARGIN
+    open_ = pairs.filter(near).select("bucket", "a", "b")
+    some = written(open_.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-open")
+    if some.isEmpty():
+        return pairs
+    # any document that has the text will do
+    docs = read.filter("id is not null").select("id", F.get("docs", F.lit(0)).alias("doc_id")).join(some, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    texts = map_batches(rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("text"), _named, "id binary, text string")
+    texts = written(texts.join(some, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"l{x}"))
+    joined = open_.join(side("a"), "a").join(side("b"), "b").select("bucket", "a", "la", "b", "lb")
+    return pairs.filter(~near).select("bucket", "a", "b", "share").union(written(map_batches(joined, _exact, JUDGED), "near-exact"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
+
+
+def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, id, duplicate_of): each document to drop, as doc_id and its text's id, and the doc_id that is kept."""
+    rows = _rows(docs)
+    read = written(map_batches(rows, partial(_read, parts=shards(rows)), PASS), "near-pass")
+    items = read.filter("id is not null").select("h", "id", F.col("sign").alias("item"))
+    meeting = read.filter("part is not null").select(*(x.split()[0] for x in MEETING.split(", ")))
+    near = linked(meeting, items, _agree, threshold, "near", lambda pairs: _refined(pairs, rows, read, threshold))
+    groups = components(near, name="near-edges")
+    # a root is the least node of its component, so it has no root of its own
+    texts = read.filter("id is not null").select("id", "docs").join(groups, F.col("id") == groups["node"], "left")
+    each = texts.select(F.coalesce("root", "id").alias("group"), F.explode("docs").alias("doc_id"), "id")
+    kept = each.groupBy("group").agg(F.min(F.struct("doc_id", "id")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("group", "kept")
+    gone = each.join(kept, "group").filter("struct(doc_id, id) <> kept")
+    return gone.select("doc_id", "id", F.col("kept.doc_id").alias("duplicate_of")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, duplicate_of): each document to drop and the one of its group that is kept, the least doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
-    sketch = written(map_batches(rows, _sketch, SKETCH), "sketch")
-    ones = sketch.groupBy("doc_id").agg(F.min(F.struct("ha", "hb")).alias("h")).select("doc_id", "h.ha", "h.hb")
-    same = written(ones.groupBy("ha", "hb").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")), "texts")
-    copies = ones.join(same.filter("n > 1"), ["ha", "hb"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-
-    firsts = sketch.join(same.select("ha", "hb", F.col("b").alias("doc_id")), ["ha", "hb", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    firsts = written(firsts.select("doc_id", "sign", "bands"), "firsts")
-    buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    members = written(buckets.join(heads, "bucket"), "members")
-    judged = written(_judged(members.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")), firsts), "judged")
-    far = judged.filter(F.col("share") < threshold).select(F.col("a").alias("doc_id"), F.col("b").alias("head"))
-    apart = members.join(far, ["doc_id", "head"], "left_semi").select("bucket", F.col("doc_id").alias("x"))
-    rest = apart.join(members.select("bucket", F.col("doc_id").alias("y"), "head"), "bucket").filter("y <> x and y <> head")
-    rest = _judged(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), firsts)
-    near = judged.union(rest).filter(F.col("share") >= threshold).select("a", "b")
-    return components(near.union(copies), name="near").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    """(doc_id, duplicate_of): each document to drop and the one of its group that is kept."""
+    return duplicates(docs, threshold).select("doc_id", "duplicate_of")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the duplicates; exactly repeated rows of a doc_id that stays are one. Rows without doc_id stay."""
-    name = unused(docs, "_other")
-    gone = written(near_duplicates(docs).select(F.col("doc_id").alias(name)), "gone")
+    """docs without the duplicates; exactly repeated rows of a document that stays are one. Rows without doc_id stay."""
+    name, mark = unused(docs, "_other"), unused(docs, "_mark")
+    gone = written(duplicates(docs), "near-gone")
     match = F.col("doc_id").cast("long") == F.col(name)
-    kept = docs.join(gone, match, "left_anti")
     again = docs.select(F.col("doc_id").cast("long").alias(name)).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").dropna().select(name)
-    again = written(again, "again")
+    again = written(again, "near-again")
     if again.isEmpty():
-        return kept
+        discard(again)
+        return docs.join(gone.select(F.col("doc_id").alias(name)), match, "left_anti")
+    kept = docs.join(again, match, "left_anti").join(gone.select(F.col("doc_id").alias(name)), match, "left_anti")
+    # of a doc_id with several rows each text is judged by itself
+    several = docs.join(again, match, "left_semi").withColumn(mark, F.sha2(F.col("text").cast("string"), 256))
+    texts = several.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("mark"), F.col("text").cast("string").alias("text")).filter("length(text) > 0").dropDuplicates(["doc_id", "mark"])
+    lost = map_batches(texts, _named, "id binary, doc_id long, mark string, text string").join(gone, ["doc_id", "id"], "left_semi")
+    lost = written(lost.select(F.col("doc_id").alias(name), F.col("mark").alias(mark)), "near-lost")
+    several = several.join(lost.withColumnRenamed(mark, f"{mark}2"), match & (F.col(mark) == F.col(f"{mark}2")), "left_anti")
     row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))), 256)  # a map column can't be compared itself
-    once = kept.join(again, match, "left_semi").withColumn(name, row).dropDuplicates([name]).drop(name)
-    return kept.join(again, match, "left_anti").union(once)
+    return kept.union(several.withColumn(mark, row).dropDuplicates([mark]).drop(mark))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,23 @@
 """Operator 3: personal data and secrets by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass over the whole text: at-signs, schemes, plus signs, digits and
-identifier cues. At each anchor a deterministic parser of that kind expands to both sides, finds the bounds and
-validates: label rules for hosts and addresses, octets for IPv4, Luhn for payment cards, mod 97 for IBANs, area rules
-for social security numbers, lengths for phone and account numbers. No regular expressions, no backtracking; the work
-is linear in the text and in the anchors.
+An Aho-Corasick automaton finds anchors in one pass over the whole text, whose ASCII letters are lower-cased for it:
+at-signs, schemes, plus signs, colons, digits and identifier cues. At each anchor a deterministic parser of that kind
+expands to both sides, finds the bounds and validates: label rules for hosts and addresses, octets for IPv4, groups for
+IPv6, Luhn for payment cards, mod 97 for IBANs, area rules for social security numbers, lengths for phone and account
+numbers. No regular expressions, no backtracking; where several anchors lie in one run of characters the run's end is
+looked for once (Runs), so the work is linear in the text.
 
 Of overlapping finds the one that starts first stays, but an address or URL replaces what lies inside it. start and end
-count characters, end excluded. Defined results: null and empty texts give no rows; repeated rows give their finds
-again; a null doc_id stays null. Other columns aren't read. An empty table gives no rows.
+count characters, end excluded. An address's local part and a URL may be of any length; a host has 253 characters at
+most, or it is none. Defined results: null and empty texts give no rows; repeated rows give their finds again; a null
+doc_id stays null. Other columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import ahocorasick
 import pyarrow as pa
@@ -24,28 +27,72 @@ from .textcore import map_batches
 
 DIGITS = frozenset("0123456789")
 _SCHEMES = frozenset({"http", "https", "ftp", "ftps", "sftp", "ws", "wss"})
-_SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key")
+_SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey")
 _ACCOUNT_CUES = ("account", "acct")
 _LOCAL = frozenset("._%+-'")
 _SECRET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=.~")
 _URL_STOP = frozenset("<>\"{}|\\^`")
+_HEX = frozenset("0123456789abcdefABCDEF:.")
+_AUTHORITY = 512  # a user and a host have no more characters together
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_OPEN = {")": "(", "]": "["}
 
 Find = tuple[int, int, str]
 
 
+#: Anchors in lower case, and their kinds.
+ANCHORS: dict[str, str] = {
+    "@": "@", "://": "://", "www.": "www", "+": "+", ":": ":", **dict.fromkeys(DIGITS, "digit"),
+    **dict.fromkeys(_SECRET_CUES, "secret"), **dict.fromkeys(_ACCOUNT_CUES, "account"), "passport": "passport",
+}
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word, kind in [("@", "@"), ("://", "://"), ("www.", "www"), ("WWW.", "www"), ("+", "+"), *((d, "digit") for d in DIGITS)]:
+    for word, kind in ANCHORS.items():
         found.add_word(word, (kind, len(word)))
-    for kind, cues in (("secret", _SECRET_CUES), ("account", _ACCOUNT_CUES), ("passport", ("passport",))):
-        for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
 
 
+class Runs:
+    """Ends of the runs of characters that parsers have looked through in a text, so that none is looked for twice."""
+
+    def __init__(self) -> None:
+        self.url = self.name = self.hexa = (0, 0)
+        self.secret = (0, 0, 0)
+        self.tried = -1
+
+    def url_end(self, t: str, at: int) -> int:
+        if not self.url[0] <= at < self.url[1]:
+            b = at
+            while b < len(t) and not t[b].isspace() and t[b] not in _URL_STOP:
+                b += 1
+            self.url = at, b
+        return self.url[1]
+
+    def name_end(self, t: str, at: int) -> int:
+        """Where the identifier that a cue is part of ends."""
+        if not self.name[0] <= at < self.name[1]:
+            b = at
+            while b < len(t) and (t[b].isascii() and t[b].isalnum() or t[b] in "_-"):
+                b += 1
+            self.name = at, b
+        return self.name[1]
+
+    def secret_end(self, t: str, at: int) -> tuple[int, int]:
+        """Where a run of a secret's characters ends, and its last digit; -1 if it has none."""
+        if not self.secret[0] <= at < self.secret[1]:
+            b, digit = at, -1
+            while b < len(t) and t[b] in _SECRET:
+                if t[b] in DIGITS:
+                    digit = b
+                b += 1
+            self.secret = at, b, digit
+        return self.secret[1:]
+
+
 def _host(t: str) -> bool:
     """Whether a string is a host name: two labels or more, the last of letters (or punycode)."""
     labels = t.split(".")
@@ -59,11 +106,11 @@ def _host(t: str) -> bool:
 
 def email(t: str, at: int) -> Find | None:
     a, b, n = at, at + 1, len(t)
-    while a and at - a < 64 and (t[a - 1].isalnum() or t[a - 1] in _LOCAL):
+    while a and (t[a - 1].isalnum() or t[a - 1] in _LOCAL):
         a -= 1
     while a < at and not t[a].isalnum():
         a += 1
-    while b < n and b - at < 254 and (t[b].isalnum() or t[b] in "-."):
+    while b < n and (t[b].isalnum() or t[b] in "-."):
         b += 1
     while b > at + 1 and t[b - 1] in "-.":
         b -= 1
@@ -78,49 +125,85 @@ def _octets(t: str) -> bool:
     return len(parts) == 4 and all(0 < len(x) < 4 and DIGITS.issuperset(x) and int(x) < 256 and (x == "0" or x[0] != "0") for x in parts)
 
 
-def _url_end(t: str, b: int) -> int:
-    n, first = len(t), b
-    while b < n and not t[b].isspace() and t[b] not in _URL_STOP:
+def _authority(t: str, at: int, end: int) -> bool:
+    """Whether a host, with user and port if any, begins at a place. What follows it isn't looked at."""
+    b = at
+    while b < end and t[b] not in "/?#":
         b += 1
-    while b > first and (t[b - 1] in ".,;:!?'*#$&%" or t[b - 1] in ")]" and t.count(t[b - 1], first, b) > t.count("(["[")]".index(t[b - 1])], first, b)):
+        if b - at > _AUTHORITY:
+            return False
+    host, _, port = t[at:b].rstrip(".,;:!?'*$&%)]").rpartition("@")[2].partition(":")
+    return (not port or len(port) < 6 and DIGITS.issuperset(port) and int(port) < 65536) and (_host(host) or _octets(host) or host == "localhost")
+
+
+def _url_end(t: str, first: int, b: int) -> int:
+    """The end without the punctuation, and the brackets that nothing in it opens, that follow a URL in a sentence."""
+    excess = {c: t.count(c, first, b) - t.count(o, first, b) for c, o in _OPEN.items()}
+    while b > first and (t[b - 1] in ".,;:!?'*#$&%" or excess.get(t[b - 1], 0) > 0):
         b -= 1
+        if t[b] in excess:
+            excess[t[b]] -= 1
     return b
 
 
-def url(t: str, at: int) -> Find | None:
+def url(t: str, at: int, runs: Runs) -> Find | None:
     """at: the colon of ://."""
     a = at
     while a and at - a < 6 and t[a - 1].isascii() and t[a - 1].isalnum():
         a -= 1
     while a < at and t[a:at].lower() not in _SCHEMES:
         a += 1
-    b = _url_end(t, at + 3)
-    return (a, b, "url") if a < at and _authority(t[at + 3 : b]) else None
-
-
-def _authority(rest: str) -> bool:
-    for stop in "/?#":
-        rest = rest.split(stop, 1)[0]
-    host, _, port = rest.rpartition("@")[2].partition(":")
-    return (not port or DIGITS.issuperset(port) and int(port) < 65536) and (_host(host) or _octets(host) or host == "localhost")
+    if a == at:
+        return None
+    end = runs.url_end(t, at)
+    return (a, _url_end(t, at + 3, end), "url") if _authority(t, at + 3, end) else None
 
 
-def www(t: str, at: int) -> Find | None:
+def www(t: str, at: int, runs: Runs) -> Find | None:
     if at and (t[at - 1].isalnum() or t[at - 1] in "/.@-"):
         return None
-    b = _url_end(t, at + 4)
-    return (at, b, "url") if _authority(t[at:b]) else None
+    end = runs.url_end(t, at)
+    return (at, _url_end(t, at + 4, end), "url") if _authority(t, at, end) else None
 
 
 def ipv4(t: str, at: int) -> Find | None:
+    if at and (t[at - 1].isalnum() or t[at - 1] in "-."):
+        return None
     b, n = at, len(t)
-    while b < n and (t[b] in DIGITS or t[b] == "."):
+    for group in range(4):
+        a = b
+        while b < n and b - a < 4 and t[b] in DIGITS:
+            b += 1
+        if group < 3:
+            if b >= n or t[b] != ".":
+                return None
+            b += 1
+    if b < n and (t[b].isalnum() or t[b] == "-") or b + 1 < n and t[b] == "." and t[b + 1] in DIGITS:
+        return None
+    return (at, b, "ipv4") if _octets(t[at:b]) else None
+
+
+def ipv6(t: str, at: int, runs: Runs) -> Find | None:
+    """at: a colon. Eight groups, or fewer with a double colon, of six characters with a digit at least."""
+    if runs.hexa[0] <= at < runs.hexa[1]:
+        return None
+    a = b = at
+    while a and t[a - 1] in _HEX:
+        a -= 1
+    while b < len(t) and t[b] in _HEX:
         b += 1
-    while b > at and t[b - 1] == ".":
+    runs.hexa = at, b
+    if a and (t[a - 1].isalnum() or t[a - 1] in "_-") or b < len(t) and (t[b].isalnum() or t[b] in "_-"):
+        return None
+    while b > a and (t[b - 1] == "." or t[b - 1] == ":" and t[b - 2 : b] != "::"):
         b -= 1
-    if at and (t[at - 1].isalnum() or t[at - 1] in "-.") or b < n and (t[b].isalnum() or t[b] == "-"):
+    if not 6 <= b - a <= 45 or DIGITS.isdisjoint(t[a:b]):
         return None
-    return (at, b, "ipv4") if _octets(t[at:b]) else None
+    try:
+        IPv6Address(t[a:b])
+    except AddressValueError:
+        return None
+    return a, b, "ipv6"
 
 
 def luhn(digits: str) -> bool:
@@ -243,17 +326,21 @@ def _after_cue(t: str, b: int, skip: tuple[str, ...] = ()) -> int:
     return b
 
 
-def secret(t: str, b: int) -> Find | None:
+def secret(t: str, b: int, runs: Runs) -> Find | None:
+    """b: the end of the cue, which an identifier may go on from, as in SECRET_KEY."""
     a = _after_cue(t, b)
     if not any(c in ":=" for c in t[b:a]):
-        return None
-    b = a
-    while b < len(t) and t[b] in _SECRET:
-        b += 1
-    while b > a and t[b - 1] in ".":
+        b = runs.name_end(t, b)
+        if b == runs.tried:  # an earlier cue in the same identifier came to nothing
+            return None
+        runs.tried = b
+        a = _after_cue(t, b)
+        if not any(c in ":=" for c in t[b:a]):
+            return None
+    b, digit = runs.secret_end(t, a)
+    while b > a and t[b - 1] == ".":
         b -= 1
-    value = t[a:b]
-    return (a, b, "secret") if len(value) >= 8 and not DIGITS.isdisjoint(value) else None
+    return (a, b, "secret") if b - a >= 8 and digit >= a else None
 
 
 def account(t: str, b: int) -> Find | None:
@@ -274,36 +361,41 @@ def passport(t: str, b: int) -> Find | None:
     return (a, b, "passport") if 6 <= len(value) <= 9 and sum(c in DIGITS for c in value) >= 5 and (b == len(t) or not t[b].isalnum()) else None
 
 
+def parse(t: str, kind: str, at: int, end: int, runs: Runs) -> Find | None:
+    """What an anchor of a kind from at to end expands to."""
+    if kind == "digit":
+        return ipv4(t, at) or ssn(t, at) or card(t, at) or phone(t, at) or iban(t, at)
+    if kind == "@":
+        return email(t, at)
+    if kind == "://":
+        return url(t, at, runs)
+    if kind == "www":
+        return www(t, at, runs)
+    if kind == "+":
+        return phone(t, at)
+    if kind == ":":
+        return ipv6(t, at, runs)
+    if kind == "secret":
+        return secret(t, end, runs)
+    return account(t, end) if kind == "account" else passport(t, end)
+
+
 def find(t: str) -> list[Find]:
     """All finds of a text in order, none overlapping another."""
     found: list[Find] = []
+    runs = Runs()
     done = run = 0
-    for last, (kind, size) in automaton().iter(t):
+    for last, (kind, size) in automaton().iter(t.lower() if t.isascii() else t.translate(_LOWER)):
         at = last - size + 1
         if at < done:
             continue
-        if kind == "digit":
+        if kind == "digit":  # a number begins with the first digit of a run
             if at < run:
                 continue
             run = at + 1
             while run < len(t) and t[run] in DIGITS:
                 run += 1
-            got = ipv4(t, at) or ssn(t, at) or card(t, at) or phone(t, at) or iban(t, at)
-        elif kind == "@":
-            got = email(t, at)
-        elif kind == "://":
-            got = url(t, at)
-        elif kind == "www":
-            got = www(t, at)
-        elif kind == "+":
-            got = phone(t, at)
-        elif kind == "secret":
-            got = secret(t, last + 1)
-        elif kind == "account":
-            got = account(t, last + 1)
-        else:
-            got = passport(t, last + 1)
-        if got:
+        if got := parse(t, kind, at, last + 1, runs):
             while found and got[0] < found[-1][1]:  # only kinds that expand to the left reach back
                 found.pop()
             found.append(got)
