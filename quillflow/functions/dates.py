@@ -47,24 +47,38 @@ def parse(v: Column, format: str | None, zone: str = "UTC") -> Column:
     v = F.trim(v)
     if is_epoch(format):
         return F.timestamp_millis(F.when(v.rlike(r"\A-?\d+\z"), v.try_cast("bigint")))
-    if _TEXTUAL.search(_unquoted(format)):
-        python = _strptime(format)
-
-        @F.pandas_udf("string")
-        def parsed(s: pd.Series) -> pd.Series:
-            def one(x: str | None) -> str | None:
-                try:
-                    t = datetime.strptime(x, python)
-                except (TypeError, ValueError):
-                    return None
-                return (t if t.tzinfo is None else t.astimezone(UTC)).strftime("%Y-%m-%d %H:%M:%S.%f")
-
-            return s.map(one)
-
-        wall = F.try_to_timestamp(parsed(v)).cast("timestamp_ntz")
-    else:
-        wall = F.try_to_timestamp(v, F.lit(format)).cast("timestamp_ntz")
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall).cast("timestamp")
+    if is_textual(format):
+        return instant(F.get(walls(F.array(v), [format])[0], F.lit(0)), zone)
+    return instant(F.try_to_timestamp(v, F.lit(format)), zone)
+
+
+def is_textual(format: str | None) -> bool:
+    """Whether a pattern has names in it, which Spark writes but doesn't read."""
+    return not is_epoch(format) and bool(_TEXTUAL.search(_unquoted(format)))
+
+
+def walls(texts: Column, formats: list[str]) -> Column:
+    """For each of some textual patterns the wall times, as text, of an array of texts; null where one doesn't fit. All
+    are read by one Python function."""
+    patterns = [_strptime(f) for f in formats]
+
+    def one(x: str | None, pattern: str) -> str | None:
+        try:
+            t = datetime.strptime(x.strip(), pattern)
+        except (AttributeError, ValueError):
+            return None
+        return (t if t.tzinfo is None else t.astimezone(UTC)).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+    @F.pandas_udf("array<array<string>>")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: None if xs is None else [[one(x, p) for x in xs] for p in patterns])
+
+    return read(texts)
+
+
+def instant(wall: Column, zone: str = "UTC") -> Column:
+    """The instant at which a zone's clocks show a time, which may be text or a timestamp."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.try_to_timestamp(wall.cast("string")).cast("timestamp_ntz")).cast("timestamp")
 
 
 def day(t: Column, zone: str = "UTC") -> Column:

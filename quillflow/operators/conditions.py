@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from ..functions import dates, dom
+from ..functions import common, dates, dom
 from ..functions.fields import keep, pick
 from ..functions.matcher import TextMatcher, as_matcher
 from .base import blank, register, text
@@ -22,12 +22,6 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     "eq": lambda a, b: a == b,
 }
 
-#: Content types whose documents have a DOM.
-DOM_TYPES = (
-    "application/atom+xml", "application/mathml+xml", "application/rss+xml", "application/vnd.wap.xhtml+xml", "application/x-asp", "application/xhtml+xml",
-    "application/xml", "application/xslt+xml", "image/svg+xml", "text/html", "text/xml",
-)
-
 
 class Condition:
     def test(self) -> Column:
@@ -185,7 +179,7 @@ class DOMCondition(Condition):
     extract: str = "text"
     field_matcher: TextMatcher | None = None
     value_matcher: TextMatcher | None = None
-    content_type_matcher: TextMatcher | None = field(default_factory=lambda: TextMatcher(",".join(DOM_TYPES), "csv", ignore_case=True))
+    content_type_matcher: TextMatcher | None = field(default_factory=lambda: common.types(common.DOM))
 
     def test(self) -> Column:
         return dom_test(self.selector, self.parser, self.extract, self.field_matcher, self.value_matcher, self.content_type_matcher)

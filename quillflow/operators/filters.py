@@ -12,6 +12,7 @@ from typing import ClassVar, Literal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import common
 from ..functions.matcher import TextMatcher, as_matcher
 from ..model import active, rejected
 from . import conditions as C
@@ -104,7 +105,7 @@ class DOMFilter(Filter):
     def applies(self) -> Column:
         if self.restrict_to:
             return super().applies()
-        return F.lower(F.coalesce("content_type", F.lit(""))).isin(list(C.DOM_TYPES))
+        return F.lower(F.coalesce("content_type", F.lit(""))).isin(list(common.DOM))
 
     def matches(self) -> Column:
         return C.dom_test(self.selector, self.parser, self.extract, self.field_matcher, self.value_matcher, None)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import model
 from ..functions import dom
-from .base import Handler, register, text
+from .base import REGISTRY, Handler, register, text
 
 Child = dict[str, Any]
 
@@ -216,6 +216,7 @@ class PageSplitter(Splitter):
 
 
 PDFPageSplitter = PageSplitter
+REGISTRY["PDFPageSplitter"] = PageSplitter
 
 
 @register

@@ -35,7 +35,9 @@ class Tagger(Handler):
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.uses_python():
-            return df.withColumn("metadata", F.when(self.guard(), self.tag(meta())).otherwise(meta()))
+            # Python functions run before a branch is chosen, so rows that aren't active go to them without a field
+            df = df.withColumn("_on", self.guard()).withColumn("_active", F.when(F.col("_on"), meta()))
+            return df.withColumn("metadata", F.when(F.col("_on"), self.tag(F.col("_active"))).otherwise(meta())).drop("_on", "_active")
         return df.withColumn("metadata", let(lambda m, on: F.when(on, self.tag(m)).otherwise(m), meta(), self.guard()))
 
 
@@ -192,6 +194,8 @@ class CurrentDateTagger(Tagger):
 @register
 @dataclass(kw_only=True)
 class DateFormatTagger(Tagger):
+    """Every value that one of the formats fits, in another. Without to_field the field's values become the new ones."""
+
     from_field: str
     to_field: str | None = None
     from_formats: list[str] = field(default_factory=lambda: [dates.EPOCH])
@@ -199,18 +203,27 @@ class DateFormatTagger(Tagger):
     keep_bad_dates: bool = False
     on_set: OnSet = "append"
 
-    def uses_python(self) -> bool:
-        return any(dates._TEXTUAL.search(dates._unquoted(f)) for f in self.from_formats if not dates.is_epoch(f))
+    def apply(self, df: DataFrame) -> DataFrame:
+        textual = [f for f in self.from_formats if dates.is_textual(f)]
+        if not textual:
+            return super().apply(df)
+        # all values of active rows in one Python call; others give null
+        df = df.withColumn("_walls", dates.walls(F.when(self.guard(), values(meta(), self.from_field)), textual))
+        return super().apply(df).drop("_walls")
 
     def tag(self, m: Column) -> Column:
-        def one(v: Column) -> Column:
-            new = dates.write(F.coalesce(*(dates.parse(v, f) for f in self.from_formats)), self.to_format)
+        textual = [f for f in self.from_formats if dates.is_textual(f)]
+
+        def one(v: Column, i: Column, walls: Column | None) -> Column:
+            times = [dates.instant(F.get(F.get(walls, F.lit(textual.index(f))), i)) if f in textual else dates.parse(v, f) for f in self.from_formats]
+            new = dates.write(F.coalesce(*times), self.to_format)
             return F.coalesce(new, v) if self.keep_bad_dates else new
 
-        if self.uses_python():
-            new = F.filter(F.array(*(one(F.get(values(m, self.from_field), F.lit(i))) for i in range(8))), lambda v: v.isNotNull())
-        else:
-            new = F.filter(F.transform(values(m, self.from_field), one), lambda v: v.isNotNull())
+        def all_of(found: Column, walls: Column | None = None) -> Column:
+            return F.filter(F.transform(found, lambda v, i: one(v, i, walls)), lambda v: v.isNotNull())
+
+        found = values(m, self.from_field)
+        new = let(all_of, found, F.col("_walls")) if textual else all_of(found)
         if self.to_field:
             return put(m, self.to_field, new, self.on_set)
         return F.map_filter(F.transform_values(m, lambda k, v: F.when(k == self.from_field, new).otherwise(v)), lambda _, v: F.size(v) > 0)
@@ -299,9 +312,9 @@ class DOMTagger(Tagger):
 
         @F.pandas_udf("found array<array<string>>, rest array<string>")
         def run(s: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([dom_rules([x for x in xs if x], rules, parser) for xs in s], columns=["found", "rest"])
+            return pd.DataFrame([dom_rules([x for x in (xs if xs is not None else ()) if x], rules, parser) for xs in s], columns=["found", "rest"])
 
-        df = df.withColumn("_dom", run(source))
+        df = df.withColumn("_dom", run(F.when(self.guard(), source)))
         m = meta()
         for i, r in enumerate(self.rules):
             m = put(m, r.to_field, F.get(F.col("_dom.found"), F.lit(i)), r.on_set)
@@ -393,10 +406,10 @@ class LanguageTagger(Tagger):
 
         @F.pandas_udf("array<struct<tag:string,probability:double>>")
         def ranked(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: [{"tag": a, "probability": b} for a, b in language.rank(x, profiles, languages)])
+            return s.map(lambda x: None if x is None else [{"tag": a, "probability": b} for a, b in language.rank(x, profiles, languages)])
 
         section = text() if self.section_chars is None else F.substring(text(), 1, self.section_chars)
-        df = df.withColumn("_ranked", ranked(section))
+        df = df.withColumn("_ranked", ranked(F.when(self.guard(), section)))
         best = F.coalesce(F.get(F.col("_ranked"), F.lit(0))["tag"], F.lit(self.fallback_language))
         m = put(meta(), self.to_field, F.array(best), "replace")
         if self.keep_probabilities:

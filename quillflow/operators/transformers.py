@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import ClassVar
@@ -24,13 +25,15 @@ class Transformer(Handler):
         raise NotImplementedError
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("content", F.when(self.guard(), self.change(text())).otherwise(F.col("content")))
+        # a Python function runs before the branch is chosen, so rows that aren't active go to it as null
+        on = self.guard()
+        return df.withColumn("content", F.when(on, self.change(F.when(on, text()))).otherwise(F.col("content")))
 
 
 def rewritten(function: Callable[[str], str], c: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(function)
+        return s.map(function, na_action="ignore")
 
     return run(c)
 
@@ -217,7 +220,7 @@ class ImageTransformer(Transformer):
             return pd.DataFrame([me._one(x) for x in s], columns=["raw", "error"])
 
         on = self.guard() & F.col("raw").isNotNull()
-        df = df.withColumn("_image", run("raw"))
+        df = df.withColumn("_image", run(F.when(on, F.col("raw"))))
         error = F.when(on, F.col("_image.error")).otherwise(F.col("error"))
         return df.withColumns({"raw": F.when(on & F.col("_image.raw").isNotNull(), F.col("_image.raw")).otherwise(F.col("raw")), "error": error}).drop("_image")
 
@@ -225,12 +228,15 @@ class ImageTransformer(Transformer):
         if raw is None:
             return None, None
         try:
-            import io
-
             from PIL import Image
         except ImportError:
             return None, "no imaging library is installed"
-        image = Image.open(io.BytesIO(raw))
+        try:
+            return self._changed(Image.open(io.BytesIO(raw))), None
+        except Exception as e:  # an image that can't be read is an error of its row
+            return None, f"{type(e).__name__}: {e}"[:500]
+
+    def _changed(self, image) -> bytes:
         if self.scale_size:
             image = image.resize(self.scale_size) if self.stretch else image.copy()
             if not self.stretch:
@@ -244,4 +250,4 @@ class ImageTransformer(Transformer):
             image = image.crop((x, y, x + w, y + h))
         out = io.BytesIO()
         image.save(out, self.target_format)
-        return out.getvalue(), None
+        return out.getvalue()

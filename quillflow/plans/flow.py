@@ -13,7 +13,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import model
+from .. import model, stored
 from ..functions.fields import put
 from ..operators.base import Handler
 from ..operators.conditions import Condition
@@ -69,7 +69,8 @@ def run_steps(df: DataFrame, steps: list) -> DataFrame:
 
 @dataclass
 class Pipeline:
-    """pre handlers, parser, post handlers. max_depth bounds how deep children of children go."""
+    """pre handlers, parser, post handlers. Children go as deep as there are any; only on a stream, whose plan is made
+    before its rows are seen, max_depth bounds them."""
 
     pre: list = field(default_factory=list)
     post: list = field(default_factory=list)
@@ -94,22 +95,26 @@ class Pipeline:
     def run(self, df: DataFrame, written: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """All documents, children included, with depth and child_index, statuses in model.status().
 
-        Levels are unrolled up to max_depth when the plan is built, so this works on streams too. With `written`, a
-        function that stores a level and reads it again, a level is computed once and the loop ends at the first level
-        without children. Children of rejected rows go on, those of rows with an error don't.
+        Where handlers or parsers make children, each level is stored (by `written`, else in the session's shared folder)
+        and computed once, until a level has no children. On a stream levels are unrolled up to max_depth when the plan
+        is built, and a document of the last level that has children gets an error. Children of rejected rows go on,
+        those of rows with an error don't.
         """
-        level, out = df, None
-        for depth in range(self.max_depth + 1):
+        level, out, stream = df, None, df.isStreaming
+        for depth in count():
             done = self.one_pass(level)
-            if written is not None:
-                done = written(done)
+            if not self.splits():
+                out = done.drop("children")
+                break
+            if not stream:
+                done = (written or stored.written)(done)
+            elif depth == self.max_depth:
+                done = done.withColumn("error", F.coalesce("error", F.when(F.size("children") > 0, F.lit(f"children deeper than {depth} levels"))))
             flat = done.drop("children")
             out = flat if out is None else out.unionByName(flat)
-            if depth == self.max_depth or not self.splits():
+            if stream and depth == self.max_depth or not stream and done.filter(F.col("error").isNull() & (F.size("children") > 0)).isEmpty():
                 break
             level = children(done, depth + 1)
-            if written is not None and level.isEmpty():
-                break
         assert out is not None
         for processor in self.processors:
             out = processor(out)

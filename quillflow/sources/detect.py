@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
-from ..functions.fields import put
 
 #: Bytes that detection looks at; a zip's directory needs the whole file.
 HEAD = 4096
@@ -161,7 +160,44 @@ def detect_charset(raw: bytes, declared: str | None = None) -> str:
     inside = clean_charset((m[1] or m[2]).decode("ascii", "ignore")) if m else None
     if inside and fits(inside):
         return inside
-    return "WINDOWS-1252" if any(0x80 <= b < 0xA0 for b in raw[:65536]) else "ISO-8859-1"
+    return guess_charset(raw)
+
+
+#: Character sets without a mark, with the scripts that text in them is mostly of.
+_WIDE = (("EUC-JP", "jp"), ("SHIFT_JIS", "jp"), ("EUC-KR", "kr"), ("GB18030", "cn"), ("BIG5", "cn"))
+_NARROW = (("WINDOWS-1251", "Ѐ-ӿ"), ("KOI8-R", "Ѐ-ӿ"), ("ISO-8859-5", "Ѐ-ӿ"), ("IBM866", "Ѐ-ӿ"), ("WINDOWS-1253", "Ͱ-Ͽ"), ("WINDOWS-1256", "؀-ۿ"))
+_SCRIPT = {"jp": re.compile("[\u3040-\u30ff]"), "kr": re.compile("[\uac00-\ud7a3]"), "cn": re.compile("[\u4e00-\u9fff]")}
+#: The most usual characters of Chinese text, which bytes of other sets seldom decode to.
+_USUAL = frozenset("的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长知民样现分将外但身些與這國來個會們時說學為對後還發經")
+
+
+def guess_charset(raw: bytes) -> str:
+    """The character set of bytes that are not UTF-8 and name none, by how text in a script looks: of characters of more
+    bytes, most are of one script's usual ones; words of one byte a letter don't mix scripts or cases. Else the single-byte
+    set of Western Europe."""
+    high = len(re.findall(rb"[\x80-\xff]", raw))
+    best, best_score = None, 0.6
+    for name, script in _WIDE:
+        try:
+            text = raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+        wide = [c for c in text if c > "\x7f"]
+        hits = sum(c in _USUAL for c in wide) * 2.5 if script == "cn" else len(_SCRIPT[script].findall(text)) * (1.6 if script == "jp" else 1.0)
+        score = min(1.0, hits / max(1, len(wide))) * min(1.0, 2 * len(wide) / max(1, high) * 1.0)
+        if score > best_score:
+            best, best_score = name, score
+    for name, letters in _NARROW:
+        text = raw.decode(name, "replace")
+        words = [w for w in re.findall(r"[^\W\d_]+", text) if any(c > "\x7f" for c in w)]
+        marked = sum(map(len, words))
+        other = sum(c > "\x7f" and not c.isspace() for c in text) - sum(c > "\x7f" for w in words for c in w)
+        pure = sum(len(w) for w in words if len(w) > 1 and re.fullmatch(f"[{letters}]+", w) and (w.islower() or w.isupper() or w[1:].islower() or not w.upper() != w.lower()))
+        lower = sum(c.islower() for w in words for c in w) / max(1, marked) if letters[0] in "ЀͰ" else 1.0
+        score = pure / max(1, marked + 2 * other) * (0.6 + 0.4 * lower)
+        if score > best_score:
+            best, best_score = name, score
+    return best or ("WINDOWS-1252" if re.search(rb"[\x80-\x9f]", raw) else "ISO-8859-1")
 
 
 def decode(raw: bytes | None, charset: str | None) -> str | None:
@@ -201,10 +237,9 @@ def prepare(df: DataFrame) -> DataFrame:
         kind = F.coalesce("content_type", "_seen.kind", by_name)
         charset = F.coalesce("content_encoding", "_seen.charset", F.lit("UTF-8"))
     df = df.withColumns({"content_type": kind, "content_encoding": charset}).drop("_seen")
-    m = F.col("metadata")
-    for name, value in ((model.REFERENCE, F.col("reference")), (model.CONTENT_TYPE, F.col("content_type")), (model.CONTENT_ENCODING, F.col("content_encoding")), (model.CONTENT_FAMILY, family_column(F.col("content_type")))):
-        m = put(m, name, F.array(value), "replace")
-    return df.withColumn("metadata", m)
+    own = {model.REFERENCE: F.col("reference"), model.CONTENT_TYPE: F.col("content_type"), model.CONTENT_ENCODING: F.col("content_encoding"), model.CONTENT_FAMILY: family_column(F.col("content_type"))}
+    rest = F.map_filter("metadata", lambda k, _: ~k.isin(*own))
+    return df.withColumn("metadata", F.map_concat(rest, F.create_map(*(x for k, v in own.items() for x in (F.lit(k), F.array(v))))))
 
 
 def _always_null(df: DataFrame, column: str) -> bool:

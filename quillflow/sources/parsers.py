@@ -21,6 +21,7 @@ from .. import model
 from ..functions import dom
 from ..functions.fields import put_map
 from .detect import EXTENSIONS, decode, detect_charset, detect_type
+from .pdf import parse_pdf
 
 Meta = dict[str, list[str]]
 #: text, metadata, embedded documents as (name, bytes)
@@ -32,6 +33,33 @@ class Unsupported(ValueError):
     """No parser for this content here."""
 
 
+#: Bytes that one compressed member may hold; more is an error of its document, not the end of a worker.
+MOST_BYTES = 512 << 20
+
+
+def xml_root(raw: bytes) -> ElementTree.Element:
+    """The root of an XML document; entities of its own, which may expand without bound, are refused."""
+    if re.search(rb"<!ENTITY", raw):
+        raise Unsupported("XML with entities of its own")
+    return ElementTree.fromstring(raw)
+
+
+def unzipped(z: zipfile.ZipFile, name: str | zipfile.ZipInfo) -> bytes:
+    with z.open(name) as f:
+        out = f.read(MOST_BYTES + 1)
+    if len(out) > MOST_BYTES:
+        raise Unsupported(f"a member of more than {MOST_BYTES} bytes")
+    return out
+
+
+def gunzipped(raw: bytes) -> bytes:
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
+        out = f.read(MOST_BYTES + 1)
+    if len(out) > MOST_BYTES:
+        raise Unsupported(f"more than {MOST_BYTES} bytes")
+    return out
+
+
 def parse_text(raw: bytes, charset: str | None, name: str) -> Parsed:
     return decode(raw, charset) or "", {}, []
 
@@ -73,9 +101,9 @@ def _lines(node: dom.Node) -> str:
 
 def parse_xml(raw: bytes, charset: str | None, name: str) -> Parsed:
     try:
-        root = ElementTree.fromstring(raw)
+        root = xml_root(raw)
         return re.sub(r"\s*\n\s*", "\n", "\n".join(t.strip() for t in root.itertext() if t.strip())), {}, []
-    except ElementTree.ParseError:
+    except (ElementTree.ParseError, Unsupported):
         return dom.text_of(dom.parse(decode(raw, charset) or "", "xml")), {}, []
 
 
@@ -157,7 +185,7 @@ def _office_text(source: bytes) -> str:
         if name in ("p", "h", "si", "row"):
             out.append("\n")
 
-    walk(ElementTree.fromstring(source))
+    walk(xml_root(source))
     return "".join(out)
 
 
@@ -167,7 +195,7 @@ def _natural(name: str) -> list:
 
 def _sheet_text(source: bytes, strings: list[str]) -> str:
     rows = []
-    for row in ElementTree.fromstring(source).iter():
+    for row in xml_root(source).iter():
         if _local(row.tag) == "row":
             cells = []
             for c in row:
@@ -183,36 +211,36 @@ def parse_zipped_office(raw: bytes, charset: str | None, name: str) -> Parsed:
         meta: Meta = {}
         for part in ("docProps/core.xml", "docProps/app.xml", "meta.xml"):
             if part in names:
-                for e in ElementTree.fromstring(z.read(part)).iter():
+                for e in xml_root(unzipped(z, part)).iter():
                     if e.text and e.text.strip() and _local(e.tag) in _CORE:
                         meta.setdefault(_CORE[_local(e.tag)], []).append(e.text.strip())
         strings: list[str] = []
         if "xl/sharedStrings.xml" in names:
-            strings = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
+            strings = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in xml_root(unzipped(z, "xl/sharedStrings.xml")) if _local(si.tag) == "si"]
         parts = []
         for part in names:
             if part.startswith("xl/worksheets/sheet"):
-                parts.append(_sheet_text(z.read(part), strings))
+                parts.append(_sheet_text(unzipped(z, part), strings))
             elif part != "xl/sharedStrings.xml" and _OFFICE_PARTS.fullmatch(part):
-                parts.append(_office_text(z.read(part)))
-        embedded = [(x, z.read(x)) for x in names if re.search(r"/(?:media|embeddings)/[^/]+$|^Pictures/[^/]+$", x)]
+                parts.append(_office_text(unzipped(z, part)))
+        embedded = [(x, unzipped(z, x)) for x in names if re.search(r"/(?:media|embeddings)/[^/]+$|^Pictures/[^/]+$", x)]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(parts)).strip(), meta, embedded
 
 
 def parse_zip(raw: bytes, charset: str | None, name: str) -> Parsed:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        return "", {}, [(x.filename, z.read(x)) for x in z.infolist() if not x.is_dir()]
+        return "", {}, [(x.filename, unzipped(z, x)) for x in z.infolist() if not x.is_dir()]
 
 
 def parse_gzip(raw: bytes, charset: str | None, name: str) -> Parsed:
-    return "", {}, [(re.sub(r"\.gz$", "", name.rsplit("/", 1)[-1]) or "embedded-1", gzip.decompress(raw))]
+    return "", {}, [(re.sub(r"\.gz$", "", name.rsplit("/", 1)[-1]) or "embedded-1", gunzipped(raw))]
 
 
 def parse_xfdl(raw: bytes, charset: str | None, name: str) -> Parsed:
     """A form: plain XML, or a line that names the type and base64 of gzip below it."""
     if raw.lstrip().startswith(b"application/vnd.xfdl"):
-        raw = gzip.decompress(base64.b64decode(raw.split(b"\n", 1)[1]))
-    root = ElementTree.fromstring(raw)
+        raw = gunzipped(base64.b64decode(raw.split(b"\n", 1)[1]))
+    root = xml_root(raw)
     title = next((e.text for e in root.iter() if _local(e.tag) == "title" and e.text), None)
     out = [(v.text or "").strip() for f in root.iter() if _local(f.tag) == "field" for v in f if _local(v.tag) == "value"]
     return "\n".join(x for x in out if x), ({"title": [title]} if title else {}), []
@@ -232,10 +260,12 @@ def parse_eml(raw: bytes, charset: str | None, name: str) -> Parsed:
 
 
 _OFFICE = tuple(EXTENSIONS[x] for x in ("docx", "docm", "dotx", "xlsx", "xlsm", "pptx", "ppsx", "odt", "ods", "odp"))
+#: Names of embedded documents that a merged text lacks, with their types.
+UNPARSED = "document.embedded.unparsed"
 PARSERS: list[tuple[str, Parser]] = [
     (r"text/html|application/xhtml\+xml|application/vnd\.wap\.xhtml\+xml", parse_html), (r"text/csv|text/tab-separated-values", parse_csv), (r"application/json", parse_json), (r"application/rtf|text/rtf", parse_rtf),
     (r"application/vnd\.xfdl", parse_xfdl), ("|".join(map(re.escape, _OFFICE)), parse_zipped_office), (r"application/zip|application/epub\+zip", parse_zip), (r"application/gzip", parse_gzip), (r"message/rfc822", parse_eml),
-    (r"(?:application|text)/(?:[\w.-]+\+)?xml|image/svg\+xml", parse_xml), (r"text/.*|application/javascript", parse_text),
+    (r"application/pdf", parse_pdf), (r"(?:application|text)/(?:[\w.-]+\+)?xml|image/svg\+xml", parse_xml), (r"text/.*|application/javascript", parse_text),
 ]
 
 
@@ -246,7 +276,8 @@ class ParserFactory:
     Embedded documents are merged into their container's text and metadata, unless split_types matches the container's
     type, which makes them children. no_extract_containers and no_extract_embedded leave them out. Other patterns are
     regular expressions on whole types. parsers: functions of the caller's by pattern, tried first; this is also where
-    OCR, PDF and the like are plugged in. Content without a parser gives the row an error, never made-up text.
+    OCR and the like are plugged in. Content without a parser gives the row an error, never made-up text; an embedded
+    document without one, or deeper than max_embedded_depth when merged, is named in the field UNPARSED.
     """
 
     ignored_types: str | None = None
@@ -255,7 +286,7 @@ class ParserFactory:
     no_extract_embedded: str | None = None
     parsers: list[tuple[str, Parser]] = field(default_factory=list)
     dc_policy: str = "both"
-    max_embedded_depth: int = 8
+    max_embedded_depth: int = 200
 
     def splits(self) -> bool:
         return bool(self.split_types)
@@ -297,6 +328,9 @@ class ParserFactory:
                         meta.setdefault(k, []).extend(x for x in v if x not in meta[k])
                     meta.setdefault("Content-Type", []).extend(x for x in [inner_kind] if x not in meta.get("Content-Type", []))
                     children += below
+                else:
+                    why = inner_kind if depth < self.max_embedded_depth else f"deeper than {depth} levels"
+                    meta.setdefault(UNPARSED, []).append(f"{short} ({why})")
         return text, meta, children
 
     def parse(self, df: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,14 +45,13 @@ def properties_text(meta: dict[str, list[str]]) -> str:
 
 
 def output_name(reference: str, depth: int, index: int | None, folder: str, suffix: str = "-imported.txt") -> str:
-    """A file name for a document: that of its reference; children have depth and index before the extension."""
+    """A file name for a document: that of its reference and a digest of the whole of it, since many folders may have a
+    file of that name; children have depth and index before the extension."""
     base = re.sub(r"[^\w.-]+", "_", reference.split("!", 1)[0].rsplit("/", 1)[-1]) or "document"
-    name = f"{base}{suffix}"
-    if depth:
-        stem, dot, ext = name.rpartition(".")
-        digest = uuid.uuid5(uuid.NAMESPACE_URL, reference).hex[:8]
-        name = f"{stem}_{depth}-{index}-{digest}{dot}{ext}"
-    return os.path.join(folder, name)
+    digest = hashlib.sha256(reference.encode()).hexdigest()[:16]
+    stem, dot, ext = f"{base}{suffix}".rpartition(".")
+    nth = f"_{depth}-{index}" if depth else ""
+    return os.path.join(folder, f"{stem}{nth}-{digest}{dot}{ext}")
 
 
 def write_files(df: DataFrame, folder: str, metadata_format: str = "properties", name: Callable[..., str] = output_name) -> None:

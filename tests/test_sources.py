@@ -65,7 +65,7 @@ def test_parsers_over_files(spark, folder):
 
 
 def test_embedded_documents_as_children(spark, folder):
-    out = Pipeline(parsers=ParserFactory(split_types="application/zip"), max_depth=2).run(files.files(spark, str(folder), "*.zip")).orderBy("depth", "child_index").collect()
+    out = Pipeline(parsers=ParserFactory(split_types="application/zip")).run(files.files(spark, str(folder), "*.zip")).orderBy("depth", "child_index").collect()
     assert [(r.depth, r.content) for r in out] == [(0, ""), (1, "inner text"), (1, "page")]
     assert out[1].metadata[model.EMBEDDED_REFERENCE] == ["in.txt"] and out[1].parent_refs[0].endswith("i.zip")
     none = Pipeline(parsers=ParserFactory(no_extract_embedded="text/html")).run(files.files(spark, str(folder), "*.zip")).first()
