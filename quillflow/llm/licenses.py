@@ -9,8 +9,9 @@ with Jaccard similarity s to a template meets it with probability 1 - (1 - s**2)
 
 Candidates are verified by exact shingle containment: the share of the template's distinct shingles in the window,
 CONTAINMENT at least. Of overlapping matches in a document the one with the most shingles matched stays, then that of
-the greater share, then the earlier. The templates are part of the program; nothing grows with the data, and there is
-no shuffle.
+the greater share, then the earlier. The templates are part of the program: notices, standard headers and characteristic
+paragraphs, not the full texts of licenses, which are found by such a paragraph; templates takes others. Nothing grows
+with the data, and there is no shuffle.
 
 Defined results: null and empty texts, and those shorter than any template, match nothing; repeated rows match again; a
 null doc_id stays null. Other columns aren't read. An empty table gives no rows.
@@ -116,11 +117,13 @@ class Library:
         pairs = pair_hashes(words)
         self.sets: list[frozenset[int]] = []
         self.sizes = words.counts
+        self.least: dict[int, int] = {}  # distinct shingles of a width's smallest template
         self.tables: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
         for i, n in enumerate(words.counts.tolist()):
             own = pairs[words.first[i] : words.first[i] + n - 1]
             self.sets.append(frozenset(own.tolist()))
             width = next(w for w in self.widths if w >= n)
+            self.least[width] = min(self.least.get(width, n), len(self.sets[i]))
             bands = self.tables.setdefault(width, [(np.zeros(1 << 16, bool), defaultdict(list)) for _ in range(BANDS)])
             least = [h.min() for h in minima(own)]
             for b, (seen, table) in enumerate(bands):
@@ -176,8 +179,8 @@ def matches(words: Words, lib: Library, containment: float = CONTAINMENT) -> lis
             begin = windows(words, width)
             least = [np.minimum(x[begin], x[begin + span - reach]) for x in level]
             candidates = [(int(begin[i]), width, t) for i, t in lib.lookup(width, least)]
-        # texts shorter than the window are one window each, if long enough to hold what is asked
-        short = np.flatnonzero((words.counts < width) & (words.counts >= np.maximum(2, 0.6 * width)))
+        # texts shorter than the window are one window each, if they have as many shingles as any template asks for
+        short = np.flatnonzero((words.counts < width) & (words.counts >= 2) & (words.counts - 1 >= containment * lib.least[width] - 1e-9))
         if len(short):
             a, size = words.first[short], words.counts[short] - 1
             bounds = np.cumsum(size) - size

@@ -90,8 +90,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, part = 0, None
     for batch in batches:
         judged = batch.filter(pc.is_valid(batch.column(5)))
-        if n := judged.num_rows:
-            yield pa.RecordBatch.from_arrays([judged.column(2), *[pa.nulls(n, pa.int64())] * 2, *judged.columns[3:]], names)
+        if judged.num_rows:
+            h = [pa.array(np.frombuffer(b"".join(judged.column(c).to_pylist()), np.int64)[::2]) for c in (3, 4)]
+            yield pa.RecordBatch.from_arrays([judged.column(2), *h, *judged.columns[3:]], names)
         batch = batch.filter(pc.is_valid(batch.column(1)))
         for now, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if waiting and (now != part or size > 2 * BATCH_BYTES):
@@ -110,7 +111,7 @@ Judge = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 
 
 def _judged(pairs: DataFrame, items: DataFrame, key: str, judge: Judge) -> DataFrame:
-    """JUDGED of pairs (bucket array, {key}a, {key}b), which are joined with the items (key, id, item)."""
+    """JUDGED of pairs (bucket array, {key}a, {key}b), which are joined with the items (h, id, item) by one of these."""
 
     def side(x: str) -> DataFrame:
         return items.select(F.col(key).alias(f"{key}{x}"), F.col("id").alias(f"i{x}"), F.col("item").alias(f"l{x}"))
@@ -130,11 +131,12 @@ def linked(meeting: DataFrame, items: DataFrame, judge: Judge, threshold: float,
     met = written(met, f"{name}-met")
     near = met.filter("share is not null").groupBy("a", "b").agg(F.collect_set("bucket").alias("bucket"), F.first("share").alias("share"))
     pairs = met.filter("share is null").groupBy("ha", "hb").agg(F.collect_set("bucket").alias("bucket"))
-    some = met.filter("share is null").select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    # the items that share a bucket with another; the others don't move
+    some = met.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     texts = written(items.join(some, "h", "left_semi").groupBy("h", "id").agg(F.first("item").alias("item")), f"{name}-items")
     found = _judged(pairs, texts, "h", judge).unionByName(near)
     found = written(found, f"{name}-judged")
-    discard(met, texts)
+    discard(met)
     refined = refine(found)
     if refined is not found:
         refined = written(refined, f"{name}-refined")
@@ -144,6 +146,7 @@ def linked(meeting: DataFrame, items: DataFrame, judge: Judge, threshold: float,
     bad = found.filter(F.col("share") < threshold).select(F.explode("bucket").alias("bucket"), "a", "b")
     far = written(bad, f"{name}-far")
     if far.isEmpty():
+        discard(texts)
         return good
     # those that fail against their head, and those below a head that fails, meet all others of the bucket that nothing
     # has linked them to yet
@@ -160,8 +163,6 @@ def linked(meeting: DataFrame, items: DataFrame, judge: Judge, threshold: float,
     rest = x.join(y, "bucket").filter("rx <> ry").select(F.greatest("x", "y").alias("ida"), F.least("x", "y").alias("idb")).distinct()
     tried = far.select(F.greatest("a", "b").alias("ida"), F.least("a", "b").alias("idb"))
     rest = written(rest.join(tried, ["ida", "idb"], "left_anti").withColumn("bucket", F.array().cast("array<long>")), f"{name}-rest")
-    some = rest.select(F.explode(F.array("ida", "idb")).alias("id")).distinct()
-    texts = written(items.join(some, "id", "left_semi").groupBy("id").agg(F.first("item").alias("item")), f"{name}-rest-items")
     # written, so that judging and what comes after it don't each keep a Python worker
     late = written(_judged(rest, texts, "id", judge), f"{name}-late")
     discard(far, pairs, members, rest, texts)

@@ -42,12 +42,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """(doc_id, side, section_no, paragraph_no) of paragraphs that only the left or right version of a document has.
 
-    Takes documents tables with unique doc_id. Documents with equal roots take no part beyond the join on doc_id; of
+    Takes documents tables with unique doc_id; rows with a null one can't be told apart and take no part. Documents with equal roots take no part beyond the join on doc_id; of
     the others only sections without an equal one on the other side are opened. paragraph_no counts within the
     section. A document that one side lacks differs whole; one whose parts only changed places gives a row with side
     'order' and null numbers.
     """
-    a, b = trees(left), trees(right)
+    a, b = trees(left.filter("doc_id is not null")), trees(right.filter("doc_id is not null"))
     pair = a.select("doc_id", F.col("root").alias("ra"), F.col("sections").alias("sa")).join(b.select("doc_id", F.col("root").alias("rb"), F.col("sections").alias("sb")), "doc_id", "full")
     pair = pair.filter(~F.col("ra").eqNullSafe(F.col("rb")))
     empty = F.array().cast("array<string>")

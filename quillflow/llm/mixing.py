@@ -30,7 +30,8 @@ SPACE = "[^ \\t\\n\\r]+"
 
 @dataclass(frozen=True)
 class Plan:
-    """Weights are whole numbers; names that a mapping lacks weigh other. The budget is tokens * numerator // denominator."""
+    """Weights are whole numbers; names that a mapping lacks weigh other. The budget is tokens * numerator // denominator.
+    domain: the column that holds a document's domain (null is the empty string); without one it is that of domain_of()."""
 
     domains: dict[str, int] = field(default_factory=lambda: {"d0": 4, "d1": 3, "d2": 2, "d3": 1})
     languages: dict[str, int] = field(default_factory=lambda: {"en": 5, "de": 2, "fr": 2, "es": 1})
@@ -40,6 +41,7 @@ class Plan:
     denominator: int = 2
     max_epochs: int = 3
     seed: int = 17
+    domain: str | None = None
 
 
 PLAN = Plan()
@@ -52,10 +54,16 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), (number % 4).cast("string"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def placed_in(plan: Plan) -> dict[str, Column]:
+    """A document's place in the tree."""
+    domain = domain_of(F.col("source")) if plan.domain is None else F.coalesce(F.col(f"`{plan.domain}`").cast("string"), F.lit(""))
+    return {"domain": domain, "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
+
+
+def keyed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """(doc_id, domain, lang, source, tokens) of the rows that can be chosen."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(SPACE)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens.alias("tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in placed_in(plan).items()), tokens.alias("tokens"))
     return rows.filter("doc_id is not null")
 
 
@@ -109,7 +117,7 @@ def rank(epoch: Column, doc_id: Column, plan: Plan) -> Column:
 def cuts(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """(domain, lang, source, budget, whole, cut): epochs read whole, and the last hash chosen of the one after them."""
     names = [n for n, _ in LEVELS]
-    rows = written(keyed(docs), "mixing-rows")
+    rows = written(keyed(docs, plan), "mixing-rows")
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     shares = budgets(leaves, plan)
     shares = shares.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("long"))
@@ -135,7 +143,7 @@ def select_documents(docs: DataFrame, plan: Plan = PLAN, epoch: str = "_epoch")
     own_names = {n: unused(docs, f"_leaf_{n}") for n in (*names, "whole", "cut")}
     leaf = written(cuts(docs, plan), "mixing-cuts").select(*(F.col(n).alias(own) for n, own in own_names.items()))
     whole, cut = F.col(own_names["whole"]), F.col(own_names["cut"])
-    own = {"domain": domain_of(F.col("source")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
+    own = placed_in(plan)
     on = None
     for n in names:
         same = own[n] == F.col(own_names[n])

@@ -1,19 +1,22 @@
 """Operator 7: a document classifier with supervised subword embeddings.
 
 Tokens are runs of bytes above the space character in the lower-cased text. A document's features are its tokens, their
-3-, 4- and 5-byte n-grams with a mark at either end of the token, and a mark for a token that repeats the one before
+3-, 4- and 5-byte n-grams with a mark at either end of the token (but none with both), and a mark for a token that repeats the one before
 it; each is hashed to one of BUCKETS learned vectors. The document is the average of its vectors, and a softmax layer
 gives the probabilities of three classes: good, low quality, toxic. Vectors and layer are trained by numpy stochastic
 gradient descent, document by document, with each vector's steps scaled by its past gradients.
 
-Training takes TRAIN labelled documents at most (the least hashes of doc_id), whole, on the driver; that bound doesn't
-grow with the data. Since the softmax layer is linear in the average, scoring needs only one row of class weights for
-each bucket: it sums those over the whole text, in one pass without a shuffle.
+Training takes TRAIN labelled documents at most (the least hashes of doc_id), whole: their features are counted in
+tasks, and those that at least MIN_DOCS of them have (of fewer than 100 * MIN_DOCS documents, one in a hundred) go to the
+driver, which trains; what few documents have teaches nothing that holds for others. That bound doesn't grow with the
+data. Since the softmax layer is linear in the average, scoring needs only one row of class weights for each bucket: it
+sums those over the whole text, in one pass without a shuffle.
 
 Defined results: a document without tokens, also null text, has the class shares of the training labels. Labels that
 are null, repeated for a doc_id (the greatest values count) or of documents that are absent or have no text are handled
-before the sample, so they don't use up its bound. With no labelled document every document is good with probability 1. Rows with null or repeated doc_id are scored like
-others. An empty table gives no rows.
+before the sample, so they don't use up its bound. With no labelled document every document is good with probability 1.
+Rows with null or repeated doc_id are scored like others; of a labelled doc_id with several texts the least is trained
+on. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .textcore import Chunk, chunks, map_batches, release, runs, span_hashes
+from .shared import written
+from .textcore import Chunk, chunks, map_batches, map_partitions, release, runs, span_hashes
 
 CLASSES = ("good", "low", "toxic")
 #: KEEP is chosen by held-out labels (trained on 5000 of a larger table, 4000 others; accuracy, then the share kept of
@@ -104,20 +108,35 @@ class Model:
         return np.concatenate(out)
 
 
+Features = list[tuple[np.ndarray, np.ndarray]]
+
+
+def least_documents(n: int) -> int:
+    """How many of n training documents must have a feature."""
+    return min(MIN_DOCS, 1 + n // 100)
+
+
 def train(texts: list[str], classes: list[int], seed: int = 1) -> Model:
-    shares = np.bincount(classes, minlength=3) / max(1, len(classes)) if classes else np.array([1.0, 0, 0])
-    if not classes:
-        return Model(np.zeros((3, BUCKETS)), np.array([50.0, 0, 0]), shares)
-    rng = np.random.default_rng(seed)
+    """A model of texts that are here; fit() on their frequent features."""
     docs = list(counted(pa.array(texts, pa.large_string())))
     seen = np.zeros(BUCKETS, np.int64)
     for bucket, _ in docs:
         seen[bucket] += 1
-    for i, (bucket, share) in enumerate(docs):
-        some = seen[bucket] >= MIN_DOCS
-        docs[i] = bucket[some], share[some]
+    often = seen >= least_documents(len(docs))
+    return fit([(bucket[often[bucket]], share[often[bucket]]) for bucket, share in docs], classes, seed)
+
+
+def fit(docs: Features, classes: list[int], seed: int = 1) -> Model:
+    """Stochastic gradient descent over documents, each given by its distinct buckets and their shares."""
+    shares = np.bincount(classes, minlength=3) / max(1, len(classes)) if classes else np.array([1.0, 0, 0])
+    if not classes:
+        return Model(np.zeros((3, BUCKETS)), np.array([50.0, 0, 0]), shares)
+    rng = np.random.default_rng(seed)
     vectors = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
-    vectors[seen < MIN_DOCS] = 0  # what few documents have teaches nothing that holds for others
+    used = np.zeros(BUCKETS, bool)
+    for bucket, _ in docs:
+        used[bucket] = True
+    vectors[~used] = 0
     layer = np.zeros((WIDTH, 3), np.float32)
     bias = np.log(np.maximum(shares, 1e-3)).astype(np.float32)
     past = np.full(BUCKETS, 1e-8, np.float32)
@@ -141,14 +160,11 @@ def train(texts: list[str], classes: list[int], seed: int = 1) -> Model:
             past[bucket] += (share * share) * (back @ back)
             vectors[bucket] = own - (rate * share / np.sqrt(past[bucket]))[:, None] * back
             bias -= 0.1 * rate * p
-    model = Model((vectors @ layer).T.copy(), bias.astype(np.float64), shares)
-    del docs, vectors
-    release()  # the driver goes on for hours after this
-    return model
+    return Model((vectors @ layer).T.copy(), bias.astype(np.float64), shares)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> tuple[list[str], list[int]]:
-    """Texts and classes of the labelled documents to train on."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> DataFrame:
+    """(doc_id, class, text) of the labelled documents to train on."""
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     kind = F.when(F.max("toxic") == 1, 2).when(F.max("quality") == 1, 0).otherwise(1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
@@ -156,8 +172,53 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> tuple[list[
     present = known.agg(kind.alias("class")).join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` ids: a broadcast of bounded size
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("class").alias("class")).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], [r["class"] for r in rows]
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("class").alias("class"), F.min("text").alias("text"))
+
+
+def _features_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    found = [(b.tobytes(), s.tobytes()) for b, s in counted(batch.column(2))]
+    columns = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
+    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "class", "buckets", "shares"])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a partition's documents have each bucket."""
+    seen = np.zeros(BUCKETS, np.int32)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            seen[np.frombuffer(raw, np.int32)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["seen"])
+
+
+def _often(batch: pa.RecordBatch, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.unpackbits(often).astype(bool)
+    found = []
+    for b, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        bucket = np.frombuffer(b, np.int32)
+        keep = some[bucket]
+        found.append((bucket[keep].tobytes(), np.frombuffer(s, np.float32)[keep].tobytes()))
+    columns = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
+    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], batch.schema.names)
+
+
+FEATURES = "doc_id long, class int, buckets binary, shares binary"
+#: Partitions that a training sample has at most, each of which counts the buckets of its own.
+PARTS = 8
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a bounded sample of labelled documents; only its frequent features come to the driver."""
+    found = written(map_batches(sample(docs, labels), _features_of, FEATURES), "quality-sample").coalesce(PARTS)
+    seen = np.zeros(BUCKETS, np.int64)
+    for row in map_partitions(found.select("buckets"), _seen, "seen binary").collect():
+        seen += np.frombuffer(row["seen"], np.int32)
+    often = np.packbits(seen >= least_documents(found.count()))
+    rows = [(r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in map_batches(found, partial(_often, often=often), FEATURES).toLocalIterator()]
+    rows.sort(key=lambda r: r[0])
+    model = fit([r[2:] for r in rows], [r[1] for r in rows])
+    del rows
+    release()  # the driver goes on for hours after this
+    return model
 
 
 def _rows(batch: pa.RecordBatch, model) -> Iterator[pa.RecordBatch]:
@@ -168,7 +229,7 @@ def _rows(batch: pa.RecordBatch, model) -> Iterator[pa.RecordBatch]:
 def scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), training: DataFrame | None = None) -> DataFrame:
     """(*carry, good, low, toxic): class probabilities of every document; the columns of carry are passed on."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(*sample(docs if training is None else training, labels)))
+    model = spark.sparkContext.broadcast(trained(docs if training is None else training, labels))
     rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return map_batches(rows, partial(_rows, model=model), f"{schema}, good double, low double, toxic double")
@@ -186,6 +247,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFra
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps, with their probabilities."""
+    """The documents that the classifier keeps, with their probabilities; scores() has those of all."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return scores(docs, labels).filter(F.col("good") >= KEEP)

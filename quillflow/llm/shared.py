@@ -1,25 +1,12 @@
-"""Lineage cuts that survive the loss of executors: tables and checkpoints in the folder that the cluster shares."""
+"""What several operators need of tables: the engine's stored ones, and names for columns of their own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..stored import discard, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only a local session may lack it and gets a temporary folder; on a cluster
-    the executors couldn't see one, so that is an error."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillflow-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+__all__ = ["discard", "shared_dir", "unused", "written"]
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -28,40 +15,3 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def _folder(spark: SparkSession, path: str):
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: computed once, pruned by column, known in size.
-
-    Once the table is there nothing needs the shuffles that made it, so their files go at once. The table goes when
-    discard() is told so, else when the session's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    system, at = _folder(spark, path)
-    system.deleteOnExit(at)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._written = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing will read any more."""
-    for table in tables:
-        system, at = _folder(table.sparkSession, table._written)
-        system.delete(at, True)

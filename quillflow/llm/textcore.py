@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once, so that a worker's temporary arrays stay small. A longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes hashed at once within a chunk.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -95,6 +95,13 @@ def test_differences_locate_edits(spark):
     assert (6, "order") in by
 
 
+def test_rows_without_id_have_no_differences(spark):
+    docs = edge_docs(spark)
+    one = docs.filter("doc_id is null or doc_id in (2, 3, 7)")
+    assert merkle.differences(one, one).count() == 0
+    assert {r.doc_id for r in merkle.differences(one, one.filter("doc_id = 3")).collect()} == {2, 7}
+
+
 def test_trees_of_edge_rows(spark):
     rows = merkle.fingerprints(edge_docs(spark)).collect()
     assert sum(r.root is None for r in rows) == 2 and all(r.section_no is None for r in rows if r.root is None)
@@ -145,10 +152,8 @@ def test_budgets_against_plain_filling(spark, seed):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
-def test_selection_is_a_token_prefix_of_each_epoch(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = mixing.Plan(domains={"d0": 9, "d1": 1}, numerator=2, denominator=1)
-    rows = {(r.doc_id): (f"d{int(r.source[3:]) % 4}", r.lang, r.source, len(r.text.split())) for r in docs.collect()}
+def brute_selection(rows: dict, plan) -> set[tuple[int, int]]:
+    """(doc_id, epoch) of what is chosen, given the place and the tokens of each document."""
     per = defaultdict(int)
     for d, la, s, t in rows.values():
         per[d, la, s] += t
@@ -163,10 +168,31 @@ def test_selection_is_a_token_prefix_of_each_epoch(spark):
                 if rest < 0:
                     break
                 want.add((i, epoch))
+    return want
+
+
+def places_of(rows) -> dict:
+    return {r.doc_id: (f"d{int(r.source[3:]) % 4}", r.lang, r.source, len(r.text.split())) for r in rows}
+
+
+def test_selection_is_a_token_prefix_of_each_epoch(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.Plan(domains={"d0": 9, "d1": 1}, numerator=2, denominator=1)
+    want = brute_selection(places_of(docs.collect()), plan)
     got = {(r.doc_id, r._epoch) for r in mixing.select_documents(docs, plan).collect()}
     assert got == want and len(want) > 50
 
 
+def test_a_column_of_the_table_may_be_the_domain(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("my domain", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("x"), F.col("doc_id") % 3)))
+    plan = mixing.Plan(domains={"x1": 5, "x2": 0}, other=2, domain="my domain")
+    want = brute_selection({i: (f"x{i % 3}" if i % 3 else "", *x[1:]) for i, x in places_of(docs.collect()).items()}, plan)
+    got = {(r.doc_id, r._epoch) for r in mixing.select_documents(docs, plan).collect()}
+    assert got == want and len(want) > 20 and not any(i % 3 == 2 for i, _ in got)
+
+
 def test_mixing_of_edge_rows(spark):
     docs = edge_docs(spark)
     everything = mixing.Plan(numerator=3, denominator=1)

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
+from math import exp
 
 from conftest import SF
 from llm_cases import edge_docs, empty_docs
+from test_archive_merkle_mixing import brute_selection, places_of
+from test_line_and_near_dedup import groups_of, weighted_jaccard, weights
+from test_text_operators import brute_items, plain_features
 
 import corpus_pipeline
 from quillflow.llm import decontaminate, mixing, near_dedup, quality, token_blocks
@@ -28,6 +33,29 @@ def test_stages_one_by_one_against_their_operators(spark):
     assert all(token_blocks.decode(bytes(r.data), r.block_starts) == encode(text[r.doc_id]) for r in rows)
 
 
+def test_run_is_that_of_plain_code(spark):
+    """Each stage by other code than the operators': all pairs, every window, plain budgets. The classifier's training is
+    tested by itself; here its features and sums are plain ones."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    model = quality.trained(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def good(text: str) -> bool:
+        found = plain_features(text)
+        z = [sum(share * float(model.table[c][b]) for b, share in found.items()) + float(model.bias[c]) for c in range(3)] if found else None
+        e = [exp(x - max(z)) for x in z] if z else model.shares
+        return e[0] / sum(e) >= quality.KEEP
+
+    now = {i for i, r in docs.items() if good(r.text or "")}
+    sets = {i: w for i in now if (w := weights(docs[i].text))}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if weighted_jaccard(sets[a], sets[b]) >= near_dedup.THRESHOLD]
+    now -= {i for i, root in groups_of(near).items() if i != root}
+    now = {i for i in now if not brute_items(docs[i].text or "", items)}
+    want = brute_selection(places_of(docs[i] for i in now), mixing.PLAN)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in want) and 20 < len(now) < len(docs)
+
+
 def test_stages_take_any_documents(spark):
     for docs in (edge_docs(spark), empty_docs(spark)):
         now = docs

@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from llm_cases import LONG, docs_of, edge_docs, empty_docs
 from quillflow.llm import decontaminate, licenses, pii, quality, token_blocks
-from quillflow.llm.textcore import chunks
+from quillflow.llm.textcore import chunks, span_hashes
 
 LONG_TEXT = "".join(LONG.format(i) for i in range(20_000))
 
@@ -157,6 +157,34 @@ def test_blocks_round_trip_exactly():
     assert int.from_bytes(data[7:9].tobytes(), "little") == 1 and data[6] <= 3  # one exception, narrow blocks
 
 
+def plain_block(ids: list[int]) -> bytes:
+    """A block by the layout's words, a bit at a time."""
+    least = min(ids)
+    rest = [x - least for x in ids]
+    width = sorted(rest)[-(-9 * len(rest) // 10) - 1].bit_length()
+    over = [i for i, x in enumerate(rest) if x.bit_length() > width]
+    bits = sum((x & ((1 << width) - 1)) << (i * width) for i, x in enumerate(rest))
+    out = least.to_bytes(4, "little") + len(ids).to_bytes(2, "little") + bytes([width]) + len(over).to_bytes(2, "little")
+    out += bits.to_bytes((len(ids) * width + 7) // 8, "little")
+    return out + b"".join(i.to_bytes(2, "little") for i in over) + b"".join(rest[i].to_bytes(4, "little") for i in over)
+
+
+def test_blocks_are_those_of_a_plain_packer():
+    rng = random.Random(3)
+    for _ in range(150):
+        rows = [[rng.choice([rng.randrange(50), rng.randrange(50_000), 2**32 - 1, 0]) for _ in range(rng.choice([0, 1, 9, 10, 11, 255, 256, 257, 700]))] for _ in range(rng.randrange(1, 4))]
+        data, size, starts, blocks = token_blocks.encode(np.array([x for r in rows for x in r], np.uint32), np.array([len(r) for r in rows]))
+        want = [[plain_block(r[i : i + token_blocks.BLOCK]) for i in range(0, len(r), token_blocks.BLOCK)] for r in rows]
+        assert data.tobytes() == b"".join(x for r in want for x in r)
+        assert size.tolist() == [sum(map(len, r)) for r in want] and blocks.tolist() == [len(r) for r in want]
+        assert starts.tolist() == [sum(map(len, r[:i])) for r in want for i in range(len(r))]
+
+
+def test_tokens_of_edge_documents(spark):
+    docs = edge_docs(spark)
+    assert token_blocks.token_blocks(docs).count() == docs.count()
+
+
 def test_tokens_of_documents_round_trip(spark):
     docs = edge_docs(spark).select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     rows = token_blocks.token_blocks(docs).collect()
@@ -183,6 +211,80 @@ def test_held_out_accuracy(spark):
     toxic = np.array([r.is_toxic == 1 for r in rows])
     assert (truth == kept).mean() > 0.9
     assert kept[truth].mean() > 0.95 and kept[toxic].mean() < 0.12
+    abuse = set("trash worthless disgusting idiot pathetic loser stupid scum clown moron".split())
+    text = {r.doc_id: set(r.text.lower().replace(".", " ").replace(",", " ").split()) for r in docs.join(held, "doc_id", "left_semi").collect()}
+    plain = np.array([bool(text[r.doc_id] & abuse) for r in rows])  # some labelled toxic have no such word
+    assert plain[toxic].mean() > 0.8 and kept[toxic & plain].mean() < 0.03
+
+
+def plain_features(text: str) -> dict[int, float]:
+    """Buckets and their shares, a byte at a time."""
+    found, before = [], None
+    for token in re.findall(rb"[^\x00-\x20]+", text.lower().encode()):
+        marked = b" " + token + b" "
+        for size in quality.GRAMS:
+            for i in range(len(marked) - size + 1):
+                code = int.from_bytes(marked[i : i + size], "big") + (size << 56)
+                if i or size < len(marked):  # the whole token with both marks is a feature by itself
+                    found.append((code * 0x9E3779B97F4A7C15 % (1 << 64)) >> 46)
+        raw = np.frombuffer(token, np.uint8)
+        found.append(int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) >> 46)
+        if token == before:
+            found.append(0)
+        before = token
+    return {b: found.count(b) / len(found) for b in set(found)}
+
+
+def test_training_is_plain_gradient_descent():
+    rng = random.Random(4)
+    words = "river town market bread spam win win cash idiot loser quiet evening über straße".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 12))) for _ in range(24)]
+    classes = [i % 3 for i in range(24)]
+    docs = [plain_features(t) for t in texts]
+    for got, want in zip(quality.counted(pa.array(texts)), docs, strict=True):
+        assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == pytest.approx(want)
+    least = quality.least_documents(24)
+    often = {b for d in docs for b in d if sum(b in x for x in docs) >= least}
+    docs = [{b: s for b, s in d.items() if b in often} for d in docs]
+    order = np.random.default_rng(1)
+    vectors = {b: v.astype(float).tolist() for b, v in enumerate((order.random((quality.BUCKETS, quality.WIDTH), np.float32) - 0.5) / quality.WIDTH) if b in often}
+    wide = range(quality.WIDTH)
+    layer, past_layer = [[0.0] * 3 for _ in wide], [[1e-8] * 3 for _ in wide]
+    bias, past = [np.log(1 / 3)] * 3, dict.fromkeys(often, 1e-8)
+    for epoch in range(quality.EPOCHS):
+        rate = quality.RATE * (1 - epoch / quality.EPOCHS)
+        for i in order.permutation(24):
+            d = docs[i]
+            if not d:
+                continue
+            mean = [sum(s * vectors[b][w] for b, s in d.items()) for w in wide]
+            z = [bias[c] + sum(mean[w] * layer[w][c] for w in wide) for c in range(3)]
+            e = [np.exp(x - max(z)) for x in z]
+            p = [x / sum(e) - (c == classes[i]) for c, x in enumerate(e)]
+            back = [sum(layer[w][c] * p[c] for c in range(3)) for w in wide]
+            for w in wide:
+                for c in range(3):
+                    past_layer[w][c] += (mean[w] * p[c]) ** 2
+                    layer[w][c] -= rate * mean[w] * p[c] / past_layer[w][c] ** 0.5
+            for b, s in d.items():
+                past[b] += s * s * sum(x * x for x in back)
+                for w in wide:
+                    vectors[b][w] -= rate * s / past[b] ** 0.5 * back[w]
+            bias = [bias[c] - 0.1 * rate * p[c] for c in range(3)]
+    model = quality.train(texts, classes)
+    for text, d in zip(texts, [plain_features(t) for t in texts], strict=True):
+        if not d:
+            continue
+        z = [bias[c] + sum(s * sum(vectors[b][w] * layer[w][c] for w in wide) for b, s in d.items() if b in often) for c in range(3)]
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose(model.probabilities(pa.array([text]))[0], e / e.sum(), atol=1e-4)
+
+
+def test_a_few_documents_teach_something():
+    texts = ["a fine calm day by the river", "the market of the old town", "bread and cheese in the evening", "win cash now win", "click to win cash", "cash cash win prizes now"]
+    model = quality.train(texts, [0, 0, 0, 1, 1, 1])
+    p = model.probabilities(pa.array(["an evening by the old river", "win win cash"]))
+    assert p[0, 0] > 0.8 and p[1, 1] > 0.8
 
 
 def test_scores_of_a_text_are_those_of_its_features():
@@ -210,8 +312,8 @@ def test_labels_without_a_text_do_not_use_up_the_training_sample(spark):
     want = [(f"text of {r.doc_id}", 2 if r.toxic else 1 - r.quality) for r in last[2:]]
     labels = ids.drop("h")
     for most in (quality.TRAIN, 10):
-        got = quality.sample(docs_of(spark, rows), labels, most)
-        assert sorted(zip(*got, strict=True)) == sorted(want[:most])
+        got = [(r.text, r["class"]) for r in quality.sample(docs_of(spark, rows), labels, most).collect()]
+        assert sorted(got) == sorted(want[:most])
 
 
 # Licenses
@@ -244,13 +346,26 @@ def test_licenses_against_every_window():
             text = " ".join([*rng.choices(filler, k=rng.randrange(5, 400)), *body, *rng.choices(filler, k=rng.randrange(5, 400))])
             got = {x[1] for x in licenses.matches(words_of(text), licenses.library(licenses.TEMPLATES))}
             want = brute_licenses(text)
-            assert got <= want or all(licenses.TEMPLATES[x][0] for x in got)
-            if t in want:  # of overlapping templates the largest match stays
-                found += bool(got)
-                missed += not got
+            assert got <= want
+            if t in want:  # of overlapping templates the largest match stays, which is the planted one
+                found += t in got
+                missed += t not in got
     assert found >= 0.95 * (found + missed) and found > 60
 
 
+def test_a_short_text_holds_a_template_whose_pairs_repeat():
+    lib = licenses.Library((("x", "la la la la la la la la la la di da"),))
+    assert [x[1] for x in licenses.matches(words_of("la la di da"), lib)] == [0]
+    assert licenses.matches(words_of("di da"), lib) == []
+
+
+def test_licenses_of_edge_documents(spark):
+    from pyspark.sql import functions as F
+
+    docs = edge_docs(spark).withColumn("text", F.when(F.col("doc_id") == 1, F.lit(licenses.TEMPLATES[1][1])).otherwise(F.col("text")))
+    assert [(r.doc_id, r.license) for r in licenses.license_matches(docs).collect()] == [(1, "MIT")] * 2
+
+
 def test_licenses_of_edge_rows(spark):
     mit = licenses.TEMPLATES[1][1]
     docs = docs_of(spark, [(1, None), (2, ""), (3, "MIT"), (4, mit), (4, mit), (None, mit), (5, LONG_TEXT + mit), (6, "these words mean nothing of the kind at all")])
