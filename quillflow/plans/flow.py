@@ -77,6 +77,8 @@ class Pipeline:
     parsers: ParserFactory | None = None
     max_depth: int = 5
     processors: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    #: Told of "begin", of each "level" that is stored, with its depth, and of "end" (of planning, where nothing is stored).
+    listeners: list[Callable[[str, int], None]] = field(default_factory=list)
 
     def one_pass(self, df: DataFrame) -> DataFrame:
         """All phases over one level of documents; children stay in their array."""
@@ -100,6 +102,11 @@ class Pipeline:
         is built, and a document of the last level that has children gets an error. Children of rejected rows go on,
         those of rows with an error don't.
         """
+        def tell(event: str, depth: int) -> None:
+            for listener in self.listeners:
+                listener(event, depth)
+
+        tell("begin", 0)
         level, out, stream = df, None, df.isStreaming
         for depth in count():
             done = self.one_pass(level)
@@ -108,6 +115,7 @@ class Pipeline:
                 break
             if not stream:
                 done = (written or stored.written)(done)
+                tell("level", depth)
             elif depth == self.max_depth:
                 done = done.withColumn("error", F.coalesce("error", F.when(F.size("children") > 0, F.lit(f"children deeper than {depth} levels"))))
             flat = done.drop("children")
@@ -118,6 +126,7 @@ class Pipeline:
         assert out is not None
         for processor in self.processors:
             out = processor(out)
+        tell("end", depth)
         return out
 
 

@@ -22,6 +22,21 @@ def status_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(model.status().alias("status")).agg(F.count("*").alias("documents"))
 
 
+def events(df: DataFrame) -> DataFrame:
+    """(reference, depth, event, by) of what happened to each document: imported, rejected (by a filter) or failed (with
+    the error), and for a parent split into how many children."""
+    own = df.select("reference", "depth", F.lower(F.when(model.status() == "ERROR", "failed").otherwise(model.status())).alias("event"), F.coalesce("error", "rejected_by").alias("by"))
+    kids = df.filter("depth > 0").groupBy(F.element_at("parent_refs", -1).alias("reference"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").cast("string").alias("by"))
+    return own.union(kids.select("reference", "depth", F.lit("split").alias("event"), "by"))
+
+
+def write_report(report: DataFrame, path: str, samples: int = 3) -> None:
+    """A field report as one CSV file with a header: field, occurrences and a column for each sample. It has a row for
+    each field, so it's small however many documents there are."""
+    columns = [F.get("samples", F.lit(i)).alias(f"sample{i + 1}") for i in range(samples)]
+    report.select("field", *(["occurrences"] if "occurrences" in report.columns else []), *columns).orderBy("field").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def metadata_json() -> Column:
     return F.to_json("metadata")
 

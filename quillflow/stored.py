@@ -1,4 +1,5 @@
-"""Tables in the folder that the cluster shares: they cut lineage and survive the loss of executors."""
+"""Where rows are: tables in the folder that the cluster shares, which cut lineage and survive the loss of executors, and
+small tables spread over all cores."""
 
 from __future__ import annotations
 
@@ -57,3 +58,17 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         system, at = _folder(table.sparkSession, table._written)
         system.delete(at, True)
+
+
+#: A table below this is a single scan task or few, however many cores there are.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores, so that work on each isn't done by one. Filters and columns still reach the
+    scan. Tables that have tasks enough, and streams, are left as they are: there is nothing to move at scale."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if cores > 1 and size < SMALL else df

@@ -145,6 +145,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(names) == 2 and names[0].startswith("a.html-imported-") and names[1] == names[0] + ".properties"
 
 
+def test_events_and_listeners(spark):
+    told = []
+    pipeline = Pipeline(parsers=ParserFactory(split_types="application/zip"), listeners=[lambda event, depth: told.append((event, depth))])
+    out = pipeline.run(raw_doc(spark, nested(1), "top.zip"))
+    assert told == [("begin", 0), ("level", 0), ("level", 1), ("end", 1)]
+    assert {tuple(r) for r in sinks.events(out).collect()} == {("top.zip", 0, "imported", None), ("top.zip!a.txt", 1, "imported", None), ("top.zip", 0, "split", "1")}
+
+
+def test_field_report_as_a_file(spark, tmp_path):
+    report = ta.field_report(Pipeline().run(doc(spark, f=["b", "a", "b"], g="x")))
+    sinks.write_report(report, str(tmp_path / "r"), 2)
+    lines = next((tmp_path / "r").glob("*.csv")).read_text().split("\n")
+    assert lines[0] == "field,occurrences,sample1,sample2" and "f,1,a,b" in lines and any(x.startswith("g,1,x") for x in lines)
+
+
 def test_groups_of_content_types():
     assert common.types(common.HTML, common.CSV).pattern.split(",")[0] == "text/html" and "text/csv" in common.types(common.CSV).pattern
 
