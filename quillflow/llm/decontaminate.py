@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import unused, written
+from .shared import spread, unused, written
 from .textcore import Words, chunks, mix, map_batches
 
 #: A repeated shingle votes as a feature of its own for each copy, by the root of its weight; so Jaccard similarity s means
@@ -285,7 +285,7 @@ def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[tuple[tupl
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, similarity) of each item found in a document; words count from 0."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     found = None
     for part in slices(benchmark):
         here = map_batches(rows, partial(_rows, part=_Part(uuid.uuid4().int, sc.broadcast(part)), threshold=threshold), RESULT)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import spread
 from .textcore import Words, chunks, mix, map_batches
 
 BANDS, ROWS, CONTAINMENT = 10, 2, 0.8
@@ -217,7 +218,7 @@ def _rows(batch: pa.RecordBatch, templates: tuple[tuple[str, str], ...], contain
 
 def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, template, first_word, last_word, containment) of each match; words count from 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     return map_batches(rows, partial(_rows, templates=templates, containment=containment), "doc_id long, license string, template int, first_word int, last_word int, containment double")
 
 

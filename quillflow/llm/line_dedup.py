@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .meeting import MEETING, linked, meet_here, shards
-from .shared import unused, written
+from .shared import spread, unused, written
 from .textcore import chunks, map_batches, mix
 
 #: At similarity s a pair shares a bucket with probability 1 - (1 - s**5)**12: 0.96 at 0.75, 0.99 at 0.8, 0.999 at 0.86.
@@ -253,7 +253,7 @@ def _similar(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of each line to drop, and the line of its component that stays."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
     lines = written(map_batches(rows, _lines, LINES), "line-texts")
     meeting = map_batches(rows, partial(_meeting, parts=shards(rows), threshold=threshold), MEETING)
     near = linked(meeting, lines.select("h", "id", F.col("line").alias("item")), partial(_similar, threshold=threshold), threshold, "line")

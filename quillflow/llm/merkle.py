@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .shared import spread
+
 _BLANK = "sha2('P', 256)"
 
 
@@ -34,7 +36,7 @@ def trees(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, root, section_no, section_hash, n_paragraphs, paragraphs), a row for each section."""
-    cut = trees(docs).select("doc_id", "root", F.posexplode_outer(F.arrays_zip("section_hashes", "sections")).alias("section_no", "s"))
+    cut = trees(spread(docs)).select("doc_id", "root", F.posexplode_outer(F.arrays_zip("section_hashes", "sections")).alias("section_no", "s"))
     count = F.floor((F.length("s.sections") + 1) / 65).cast("long")
     return cut.select("doc_id", "root", F.col("section_no").cast("long").alias("section_no"), F.col("s.section_hashes").alias("section_hash"), count.alias("n_paragraphs"), F.col("s.sections").alias("paragraphs"))
 

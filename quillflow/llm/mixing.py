@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import unused, written
+from .shared import spread, unused, written
 
 SPACE = "[^ \\t\\n\\r]+"
 
@@ -63,7 +63,7 @@ def placed_in(plan: Plan) -> dict[str, Column]:
 def keyed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """(doc_id, domain, lang, source, tokens) of the rows that can be chosen."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(SPACE)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in placed_in(plan).items()), tokens.alias("tokens"))
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in placed_in(plan).items()), tokens.alias("tokens"))
     return rows.filter("doc_id is not null")
 
 

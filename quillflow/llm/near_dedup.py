@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .meeting import JUDGED, MEETING, linked, meet_here, shards
-from .shared import discard, unused, written
+from .shared import discard, spread, unused, written
 from .textcore import CHUNK_BYTES, Words, chunks, longs, map_batches, mix, runs, unit
 
 #: k coordinates; BANDS bands of ROWS of them, in which every coordinate takes part twice, with other partners: at
@@ -199,7 +199,7 @@ def _refined(pairs: DataFrame, rows: DataFrame, read: DataFrame, threshold: floa
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and length(text) > 0")
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

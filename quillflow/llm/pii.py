@@ -23,6 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import spread
 from .textcore import map_batches
 
 DIGITS = frozenset("0123456789")
@@ -417,7 +418,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, value) of every find."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     return map_batches(rows, _rows, "doc_id long, kind string, start int, end int, value string")
 
 

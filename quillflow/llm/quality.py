@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import written
+from .shared import spread, written
 from .textcore import Chunk, chunks, map_batches, map_partitions, release, runs, span_hashes
 
 CLASSES = ("good", "low", "toxic")
@@ -230,7 +230,7 @@ def scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id
     """(*carry, good, low, toxic): class probabilities of every document; the columns of carry are passed on."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(trained(docs if training is None else training, labels))
-    rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    rows = spread(docs).select(*carry, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return map_batches(rows, partial(_rows, model=model), f"{schema}, good double, low double, toxic double")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..stored import discard, shared_dir, written
+from ..stored import discard, shared_dir, spread, written
 
-__all__ = ["discard", "shared_dir", "unused", "written"]
+__all__ = ["discard", "shared_dir", "spread", "unused", "written"]
 
 
 def unused(df: DataFrame, name: str) -> str:

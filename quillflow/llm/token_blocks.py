@@ -23,6 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import spread
 from .textcore import binaries, chunks, lists, longs, map_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -126,7 +127,7 @@ def _rows(batch: pa.RecordBatch, vocabulary: str) -> Iterator[pa.RecordBatch]:
 
 def token_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, block_starts, data) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, partial(_rows, vocabulary=vocabulary), "doc_id long, n_tokens long, block_starts array<int>, data binary")
 
 
