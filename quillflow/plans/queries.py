@@ -113,13 +113,13 @@ def content_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(docs(spark, sf_dir), ref(), post=post)
 
 
-@query("SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '(?is)^.*licen[cs]ed.*$') AND source = 'src3'")
+@query("SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '(?is)^.*licen[cs]ed.*$') AND source NOT IN ('src3', 'src5')")
 def regex_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older forms of the content, metadata and reference filters."""
     post = [
         fi.RegexContentFilter(regex=".*licen[cs]ed.*"),
-        fi.RegexMetadataFilter(field="source", regex="SRC3", case_sensitive=True, on_match="exclude"),
-        fi.RegexMetadataFilter(field="source", regex="(?!src3$).*", on_match="exclude"),
+        fi.RegexMetadataFilter(field="source", regex="SRC[0-9]+", case_sensitive=True, on_match="exclude"),
+        fi.RegexMetadataFilter(field="source", regex="SRC[35]", on_match="exclude"),
         fi.RegexReferenceFilter(regex="[^0-9]+", on_match="exclude"),
         fi.EmptyMetadataFilter(fields=["lang"], on_match="exclude"),
     ]
@@ -187,6 +187,12 @@ def dom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(pages(spark, sf_dir), first("page_id").cast("long").alias("page_id"), post=[fi.DOMFilter(selector="article > h1", value_matcher=basic("the", partial=True))])
 
 
+@query("SELECT page_id FROM pages WHERE regexp_matches(html, '<h1>[^<]*the[^<]*</h1>') AND contains(html, '<article>')")
+def dom_content_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older form of the DOM filter: a regular expression on the values of elements."""
+    return imported(pages(spark, sf_dir), first("page_id").cast("long").alias("page_id"), post=[fi.DOMContentFilter(selector="article > h1", regex=".*the.*", case_sensitive=True)])
+
+
 # Taggers
 
 _CUSTOMER = {"name": "c_name", "segment": "c_mktsegment", "nation": "c_nationkey"}
@@ -332,6 +338,35 @@ def character_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(df, ref(), *(first(k).alias(k) for k in kinds), post=post)
 
 
+@query(
+    """SELECT p_partkey AS id, translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ') AS swapped,
+  upper(p_name[1]) || lower(p_name[2:]) AS string, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS words,
+  upper(p_name[1]) || p_name[2:] || '. ' || upper(p_type[1]) || p_type[2:] AS sentences, upper(p_name[1]) || lower(p_name[2:]) || '. ' || upper(p_type[1]) || lower(p_type[2:]) AS sentences_fully FROM part"""
+)
+def letter_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases that character_case lacks."""
+    part = load(spark, sf_dir, "part").withColumn("both", F.concat("p_name", F.lit(". "), "p_type"))
+    kinds = {"swapped": ("swap", "p_type"), "string": ("stringFully", "p_name"), "words": ("words", "p_name"), "sentences": ("sentences", "both"), "sentences_fully": ("sentencesFully", "both")}
+    df = files.table(part, "p_partkey", F.lit(""), {k: column for k, (_, column) in kinds.items()})
+    post = [ta.CharacterCaseTagger(case_type=kind, field_matcher=basic(k)) for k, (kind, _) in kinds.items()]
+    return imported(df, ref(), *(first(k).alias(k) for k in kinds), post=post)
+
+
+@query("SELECT doc_id AS id, array_to_string(regexp_extract_all(text, '[0-9]+'), '|') AS numbers, lang FROM documents")
+def text_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of the content, with a debugging step that changes nothing."""
+    post = [ta.TextPatternTagger(patterns=[RegexRule("[0-9]+", "numbers")]), ta.DebugTagger(log_fields=["numbers"])]
+    return imported(docs(spark, sf_dir), ref(), F.coalesce(joined("numbers"), F.lit("")).alias("numbers"), first("lang").alias("lang"), post=post)
+
+
+@query("SELECT p_partkey AS id, p_name || chr(233) AS read, p_type AS kept FROM part")
+def charset_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose UTF-8 bytes were read as Latin-1 come back; others stay."""
+    part = load(spark, sf_dir, "part").withColumn("wrong", F.concat("p_name", F.lit("\u00c3\u00a9")))
+    df = files.table(part, "p_partkey", F.lit(""), {"read": "wrong", "kept": "p_type"})
+    return imported(df, ref(), first("read").alias("read"), first("kept").alias("kept"), post=[ta.CharsetTagger(field_matcher=wildcard("*e*"))])
+
+
 _STANDARD = "'document.reference', 'document.contentType', 'document.contentEncoding', 'document.contentFamily'"
 
 
