@@ -127,7 +127,8 @@ def linked(meeting: DataFrame, items: DataFrame, judge: Judge, threshold: float,
     b, item of b) the rows of JUDGED. refine: may replace shares, row by row.
     """
     # in a fixed order, so that a task that runs again finds the same heads
-    met = map_partitions(meeting.repartition("part").sortWithinPartitions("part", "block"), _meet, _MET)
+    blocks = meeting.repartitionById(shards(meeting), F.col("part")).sortWithinPartitions("part", "block")
+    met = map_partitions(blocks, _meet, _MET)
     met = written(met, f"{name}-met")
     near = met.filter("share is not null").groupBy("a", "b").agg(F.collect_set("bucket").alias("bucket"), F.first("share").alias("share"))
     pairs = met.filter("share is null").groupBy("ha", "hb").agg(F.collect_set("bucket").alias("bucket"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 from collections import defaultdict
@@ -33,6 +34,22 @@ def test_archive_rebuilds_every_record(spark, tmp_path):
         assert {r.digest for r in rows if r.record_id in (1, 2)} == {hashlib.sha256(b"payload").hexdigest()}
 
 
+def test_files_of_records_come_back_byte_for_byte(spark, tmp_path):
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\ncontent-length:  12\r\n\r\nsome\r\n\r\nbody\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Record-ID:<urn:b>\r\nX: caf\xe9\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    three = one.replace(b"urn:a", b"urn:c")
+    (tmp_path / "a.warc").write_bytes(one + two)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(three) + gzip.compress(two) + b"junk after")
+    (tmp_path / "c.warc").write_bytes(one[:-10])
+    (tmp_path / "d.warc").write_bytes(b"")
+    recs = warc_archive.read_warc(spark, str(tmp_path))
+    assert [(r.path[-6:], r.record_id, r.payload) for r in recs.filter("error is not null").collect()] == [("c.warc", "<urn:a>", None)]
+    headers, payloads = warc_archive.archive(recs.filter("error is null"))
+    assert headers.count() == 4 and payloads.count() == 2
+    back = warc_archive.reconstruct(headers, payloads).collect()
+    assert sorted(bytes(r.record) for r in back) == sorted([one, two, two, three]) and all(r.verified for r in back)
+
+
 def test_a_changed_payload_is_seen(spark):
     from pyspark.sql import functions as F
 
