@@ -17,7 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and blank texts have the share of good labels as their
+    probability, so they go too unless that reaches the threshold."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -32,7 +33,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the mixing plan's budgets; one that several epochs take has a row for each."""
+    """Documents by the mixing plan's budgets; one that several epochs take has a row for each, one without doc_id has no
+    place in an epoch and goes."""
     epoch = unused(docs, "_epoch")
     return mixing.select_documents(docs, epoch=epoch).drop(epoch)
 
@@ -50,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_blocks", tokens),
 ]
 
-#: SQL can't express the classifier, the signatures or the tokenizer; tests/llm holds run() against brute force.
+#: SQL can't express the classifier, the signatures or the tokenizer; tests/llm holds run() against plain code.
 ORACLE_SQL: str | None = None
 
 
