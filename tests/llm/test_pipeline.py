@@ -1,14 +1,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations
+from itertools import accumulate, combinations, pairwise
 from math import exp
 
 from conftest import SF
 from llm_cases import edge_docs, empty_docs
 from test_archive_merkle_mixing import brute_selection, places_of
-from test_line_and_near_dedup import groups_of, weighted_jaccard, weights
-from test_text_operators import brute_items, plain_features
+from test_line_and_near_dedup import groups_of, weighted_jaccard, weights, words_of
+from test_text_operators import plain_features
 
 import corpus_pipeline
 from quillflow.llm import decontaminate, mixing, near_dedup, quality, token_blocks
@@ -33,6 +33,29 @@ def test_stages_one_by_one_against_their_operators(spark):
     assert all(token_blocks.decode(bytes(r.data), r.block_starts) == encode(text[r.doc_id]) for r in rows)
 
 
+def weight(words: list[str]) -> float:
+    return sum(len(w.encode()) for w in words)
+
+
+def pieces(words: list[str]) -> Counter:
+    """Words and pairs of neighbours, with their weights, counted."""
+    return Counter([((w,), weight([w])) for w in words] + [((v, w), weight([v, w]) / 2) for v, w in pairwise(words)])
+
+
+def holds(words: list[str], item: list[str]) -> bool:
+    """Whether any window matches an item. One of similarity 0.7 shares 0.4 at least of the weight of the item's words,
+    which is that of its pairs at least; the others needn't be compared."""
+    n, inside, want, least = len(item), {w: weight([w]) for w in item}, pieces(item), 0.4 * weight(item)
+    if not n or not words:
+        return False
+    upto = [0, *accumulate(inside.get(w, 0) for w in words)]
+    for a in range(max(1, len(words) - n + 1)):
+        z = min(len(words), a + n)
+        if upto[z] - upto[a] >= least and decontaminate.similarity(pieces(words[a:z]), want) >= decontaminate.THRESHOLD:
+            return True
+    return False
+
+
 def test_run_is_that_of_plain_code(spark):
     """Each stage by other code than the operators': all pairs, every window, plain budgets. The classifier's training is
     tested by itself; here its features and sums are plain ones."""
@@ -50,7 +73,9 @@ def test_run_is_that_of_plain_code(spark):
     sets = {i: w for i in now if (w := weights(docs[i].text))}
     near = [(a, b) for a, b in combinations(sorted(sets), 2) if weighted_jaccard(sets[a], sets[b]) >= near_dedup.THRESHOLD]
     now -= {i for i, root in groups_of(near).items() if i != root}
-    now = {i for i in now if not brute_items(docs[i].text or "", items)}
+    split = [words_of(t) for _, t in items]
+    words = {i: words_of(docs[i].text) for i in now}
+    now = {i for i in now if not any(holds(words[i], item) for item in split)}
     want = brute_selection(places_of(docs[i] for i in now), mixing.PLAN)
     rows = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in want) and 20 < len(now) < len(docs)
