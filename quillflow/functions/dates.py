@@ -49,7 +49,8 @@ def parse(v: Column, format: str | None, zone: str = "UTC") -> Column:
         return F.timestamp_millis(F.when(v.rlike(r"\A-?\d+\z"), v.try_cast("bigint")))
     if is_textual(format):
         return instant(F.get(walls(F.array(v), [format])[0], F.lit(0)), zone)
-    return instant(F.try_to_timestamp(v, F.lit(format)), zone)
+    wall, like = F.try_to_timestamp(v, F.lit(format)), _shape(format)
+    return _relabelled(wall if like is None else F.when(v.rlike(like), wall), zone)
 
 
 def is_textual(format: str | None) -> bool:
@@ -76,9 +77,30 @@ def walls(texts: Column, formats: list[str]) -> Column:
     return read(texts)
 
 
+def _shape(format: str) -> str | None:
+    """A regular expression that every text of a numeric pattern matches; None for a pattern with other letters or with
+    options. Each text that isn't a date costs Spark an exception with its stack, many times what a date costs."""
+    out = []
+    for quoted, letters, _, other in re.findall(r"'([^']*)'|(([A-Za-z])\3*)|(.)", format, re.S):
+        if letters:
+            if letters[0] not in "yuMdHhkKmsS":
+                return None
+            if out[-1:] != ["[-+0-9]*"]:
+                out.append("[-+0-9]*")
+        elif other and other in "[]{}#'":
+            return None
+        else:
+            out += ["." if c.isalpha() or ord(c) > 126 else re.escape(c) for c in quoted or other or "'"]
+    return r"(?s)\A" + "".join(out) + r"\z"
+
+
 def instant(wall: Column, zone: str = "UTC") -> Column:
-    """The instant at which a zone's clocks show a time, which may be text or a timestamp."""
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.try_to_timestamp(wall.cast("string")).cast("timestamp_ntz")).cast("timestamp")
+    """The instant at which a zone's clocks show a time, given as text."""
+    return _relabelled(F.try_to_timestamp(wall.cast("string")), zone)
+
+
+def _relabelled(wall: Column, zone: str) -> Column:
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall.cast("timestamp_ntz")).cast("timestamp")
 
 
 def day(t: Column, zone: str = "UTC") -> Column:
